@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, oracles, quality_rules
+from . import bpe, line_dedup, mixing, ngram_join, oracles, quality_rules
 from .runtime import read
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(spark, read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(spark, read(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,5 +39,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": oracles.QUALITY_RULES,
+        "op4_ngram_join": oracles.NGRAM_JOIN,
         "op10_line_dedup": oracles.LINE_DEDUP,
     }
