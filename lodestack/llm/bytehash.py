@@ -111,13 +111,13 @@ def span_hashes(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int = 0,
         return mix(out + (hi - lo).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
-def words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, lo, hi) of every maximal run of non-space bytes in consecutive rows, in order."""
+def words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, lo, hi) of every maximal run of bytes outside ``gap`` (white space) in consecutive rows, in order."""
     if not len(starts) or ends[-1] <= starts[0]:
         z = np.zeros(0, np.int64)
         return z, z, z
     base, top = int(starts[0]), int(ends[-1])
-    solid = ~SPACE[buf[base:top]]
+    solid = ~gap[buf[base:top]]
     live = ends > starts
     first, last = starts[live] - base, ends[live] - base - 1
     opens, closes = solid.copy(), solid.copy()
