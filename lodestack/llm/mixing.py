@@ -50,7 +50,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float
     return d.select("source", "n_docs", "source_size", F.least("limit", F.coalesce(level, F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
-def _round():
+def _round(bucket: int):
     """Pivotal rounding of one bucket: (copies, residual p or null) of its documents."""
 
     def run(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
@@ -80,7 +80,7 @@ def _round():
             held = open_[0] if open_ else -1
         if held >= 0 and d["buckets"].iat[0] <= 1:  # nothing is left to pair with
             p[held] = float(u[-1] < p[held])
-        return d.assign(p=p, bucket=d["bucket"] // BUCKET, buckets=np.ceil(d["buckets"] / BUCKET).astype("int64"), depth=d["depth"] + 1)
+        return d.assign(p=p, bucket=d["bucket"] // bucket, buckets=np.ceil(d["buckets"] / bucket).astype("int64"), depth=d["depth"] + 1)
 
     return run
 
@@ -88,7 +88,7 @@ def _round():
 _ROW = "source string, source_size long, target double, doc_id long, ord int, size long, base long, p double, h long, bucket long, buckets long, depth int"
 
 
-def mix(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3) -> DataFrame:
+def mix(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, bucket: int = BUCKET) -> DataFrame:
     """``sized`` (doc_id, ord, source, size) with source_size, target and ``copies``; ord tells rows with one id apart."""
     work = Workspace(spark, "mix")
     sized = work.table(sized.select("doc_id", "ord", "source", "size"), "sized")
@@ -100,24 +100,24 @@ def mix(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...] = (1,
     base = F.floor(wish + F.lit(1e-9))
     h = F.xxhash64("doc_id", "ord", F.lit(17))
     rows = rows.withColumn("base", base.cast("bigint")).withColumn("p", F.greatest(F.lit(0.0), wish - base)).withColumn("h", h)
-    rows = rows.withColumn("buckets", F.ceil(F.col("n_docs") / F.lit(BUCKET))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "ord"), F.col("buckets"))).withColumn("depth", F.lit(0))
+    rows = rows.withColumn("buckets", F.ceil(F.col("n_docs") / F.lit(bucket))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "ord"), F.col("buckets"))).withColumn("depth", F.lit(0))
     rows = rows.selectExpr(*[f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in _ROW.split(", ")])
-    done, level, n = None, rows, ceil((most or 0) / BUCKET)
+    done, level, n = None, rows, ceil((most or 0) / bucket)
     for depth in range(64):
-        level = work.table(level.groupBy("source", "bucket").applyInPandas(_round(), _ROW), f"level-{depth}")
+        level = work.table(level.groupBy("source", "bucket").applyInPandas(_round(bucket), _ROW), f"level-{depth}")
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         closed = level.filter(~open_)
         done = closed if done is None else done.unionByName(closed)
         if n <= 1:
             break
-        level, n = level.filter(open_), ceil(n / BUCKET)
+        level, n = level.filter(open_), ceil(n / bucket)
     return done.select("doc_id", "ord", "source", "size", "source_size", "target", (F.col("base") + F.col("p")).cast("bigint").alias("copies"))
 
 
-def report(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3) -> DataFrame:
+def report(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, bucket: int = BUCKET) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (size times copies), source, copies."""
     sized = docs.select("doc_id", F.lit(0).alias("ord"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    out = mix(spark, sized, weights, cap)
+    out = mix(spark, sized, weights, cap, bucket)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 

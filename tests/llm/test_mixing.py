@@ -34,11 +34,10 @@ def rows():
 
 
 @pytest.mark.parametrize("bucket", [mixing.BUCKET, 8])
-def test_targets_and_rounding(spark, monkeypatch, bucket):
-    monkeypatch.setattr(mixing, "BUCKET", bucket)
+def test_targets_and_rounding(spark, bucket):
     data = rows()
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
-    got = mixing.report(spark, df).collect()
+    got = mixing.report(spark, df, bucket=bucket).collect()
     assert sorted(r.doc_id for r in got) == sorted(r[0] for r in data)
     sizes, taken, largest = defaultdict(int), defaultdict(int), defaultdict(int)
     for r in got:
@@ -52,7 +51,7 @@ def test_targets_and_rounding(spark, monkeypatch, bucket):
         assert r.target == pytest.approx(want[r.source])
     for s in sizes:
         assert abs(taken[s] - want[s]) <= largest[s] + 1e-6
-    again = mixing.report(spark, df.repartition(5)).collect()
+    again = mixing.report(spark, df.repartition(5), bucket=bucket).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
