@@ -180,7 +180,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, max_docs: int = 4000) -> Model:
     """Train on a bounded sample of rows with text and lang (the ``max_docs`` lowest id hashes)."""
-    rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    chosen = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(max_docs).select("doc_id").distinct()
+    rows = rows.join(F.broadcast(chosen), "doc_id")  # at most max_docs ids; texts never go through the sort
     got = rows.select("lang", "text").mapInArrow(_segments, "lang string, segment binary").collect()
     return train(sorted((r.lang, bytes(r.segment)) for r in got))
 
