@@ -28,7 +28,7 @@ class Workspace:
     def table(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` as Parquet and read it back with the same schema."""
         path = f"{self.path}/{name}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
+        writer = df.write.mode("overwrite").option("compression", "snappy")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
