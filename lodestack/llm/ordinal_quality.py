@@ -147,7 +147,7 @@ def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             )
 
 
-def fit(docs: DataFrame, grades: DataFrame, max_docs: int = 6000, n_grades: int = 3) -> Model:
+def fit(docs: DataFrame, grades: DataFrame, max_docs: int = 4000, n_grades: int = 3) -> Model:
     """Train on texts joined with (doc_id, grade); at most ``max_docs`` labelled rows, the lowest id hashes."""
     chosen = grades.filter(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     chosen = chosen.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_docs)
