@@ -28,6 +28,10 @@ def bm25_batch(terms: DataFrame, posts: DataFrame, stats: DataFrame, corpus: Dat
     return rows.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
+def _equals(word: str):
+    return lambda x: x == word
+
+
 def bm25_scan(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75, id_col: str = "id", text_col: str = "content", toks: list[str] | None = None) -> DataFrame:
     """(id, score) straight from texts: term counts stay in the row, and one small aggregate gives the statistics.
 
@@ -36,7 +40,7 @@ def bm25_scan(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75, id_
     counts = Counter(local_query_tokens(query) if toks is None else toks)
     terms = list(counts)
     base = docs.select(F.col(id_col).alias("id"), text.tokens(F.col(text_col)).alias("t"))
-    base = base.select("id", F.size("t").cast("bigint").alias("dl"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(terms)])
+    base = base.select("id", F.size("t").cast("bigint").alias("dl"), *[F.size(F.filter("t", _equals(w))).alias(f"tf{i}") for i, w in enumerate(terms)])
     have = [F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))]
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *have)
     if not terms:
