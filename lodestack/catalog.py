@@ -16,6 +16,7 @@ from .functions import scoring, text
 from .operators import fusion, graph, index, lexical, rerank, select, vector
 from .plans import prompt
 from .schema import CHUNK_TYPES
+from .session import spread
 from .sources import chunker, parsers
 from .streaming import changes
 
@@ -45,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in CHUNK_TYPES])
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     return d.select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), F.col("lang").alias("language"), F.col("text").alias("content"), F.element_at(kinds, (F.col("doc_id") % 6 + 1).cast("int")).alias("chunk_type"))
 
 
@@ -590,7 +591,7 @@ def event_classes(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_EV}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM ev WHERE event IS NOT NULL WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)),
+    f"""WITH {_EV}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM ev WHERE event IS NOT NULL WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS k FROM g)
 SELECT path, arg_max(event, (ts, event_id)) AS event, count(*)::BIGINT AS n_events, CASE WHEN arg_max(event, (ts, event_id)) = 'delete' THEN 'delete' ELSE 'index' END AS action FROM s GROUP BY path, k"""
 )

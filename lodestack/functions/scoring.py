@@ -36,7 +36,8 @@ def cosine(a: Column, b: Column) -> Column:
 def recency(mtime: Column, as_of: Column) -> Column:
     """1 + 0.3 exp(-age / 30 d) with age at least 0; 1 without a time."""
     age = F.greatest(F.lit(0.0), as_of - mtime)
-    return F.coalesce(F.lit(1.0) + F.lit(RECENCY_BOOST) * F.exp(-age / F.lit(HALF_LIFE_SECONDS)), F.lit(1.0)).cast("float")
+    bonus = F.lit(1.0) + F.lit(RECENCY_BOOST) * F.exp(-age / F.lit(HALF_LIFE_SECONDS))
+    return F.when(mtime.isNull(), F.lit(1.0)).otherwise(bonus).cast("float")
 
 
 def heuristic(score: Column, chunk_type: Column, content: Column, path: Column, query: str, mtime: Column | None = None, as_of: Column | None = None, priority=PRIORITY_PATHS) -> Column:

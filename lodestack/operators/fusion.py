@@ -26,67 +26,69 @@ def ranked(results: DataFrame) -> DataFrame:
     return results.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("id"))))
 
 
-def _both(vector: DataFrame, keyword: DataFrame) -> DataFrame:
-    v = ranked(vector).select("id", f32(F.col("score")).alias("vs"), F.col("rank").alias("vr"))
-    k = ranked(keyword).select("id", f32(F.col("score")).alias("ks"), F.col("rank").alias("kr"))
-    return v.join(k, "id", "full_outer")
+def _joined(vector: DataFrame, keyword: DataFrame) -> DataFrame:
+    """Both lists side by side, each evaluated once: raw (vs, ks), normalised (vn, kn), ranks (vr, kr) and sizes (nv, nk)."""
 
+    def side(results: DataFrame, s: str, n: str, r_: str) -> DataFrame:
+        ranked_ = ranked(results.select("id", f32(F.col("score")).alias("score")))
+        return normalize(ranked_.withColumn("raw", F.col("score"))).select("id", F.col("raw").alias(s), F.col("score").alias(n), F.col("rank").alias(r_))
 
-def _out(df: DataFrame, score, vs, ks) -> DataFrame:
-    zero = _zero()
-    return df.select("id", f32(score).alias("score"), F.lit("hybrid").alias("source"), F.coalesce(vs, zero).alias("vector_score"), F.coalesce(ks, zero).alias("keyword_score"))
+    both = side(vector, "vs", "vn", "vr").join(side(keyword, "ks", "kn", "kr"), "id", "full_outer")
+    every = Window.partitionBy()
+    return both.withColumn("nv", F.count("vr").over(every)).withColumn("nk", F.count("kr").over(every))
 
 
-def rrf(vector: DataFrame, keyword: DataFrame, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion: sum of 1 / (k + rank)."""
-    df = _both(vector, keyword)
-    return _out(df, scoring.rrf(F.col("vr"), k) + scoring.rrf(F.col("kr"), k), F.col("vs"), F.col("ks"))
+def _score(strategy: str, alpha: float, k: int):
+    """(score, vector score, keyword score) of a fused row."""
+    c = lambda name: F.coalesce(name, _zero())
+    if strategy == "weighted":
+        score = F.lit(alpha).cast("float") * c("vn") + F.lit(1 - alpha).cast("float") * c("kn")
+        return score, c("vn"), c("kn")
+    if strategy == "max":
+        return F.greatest(c("vs"), c("ks")), c("vs"), c("ks")
+    return scoring.rrf(F.col("vr"), k) + scoring.rrf(F.col("kr"), k), c("vs"), c("ks")
 
 
-def normalize(results: DataFrame, cols: str = "score") -> DataFrame:
+def normalize(results: DataFrame, col: str = "score") -> DataFrame:
     """Min-max to [0, 1] over the whole list; equal scores stay as they are."""
     every = Window.partitionBy()
-    s = F.col(cols)
+    s = F.col(col)
     low, high = F.min(s).over(every), F.max(s).over(every)
-    return results.withColumn(cols, F.when(high == low, s).otherwise(F.try_divide(s - low, high - low)).cast("float"))
+    return results.withColumn(col, F.when(high == low, s).otherwise(F.try_divide(s - low, high - low)).cast("float"))
+
+
+def fuse(vector: DataFrame, keyword: DataFrame, strategy: str = "rrf", alpha: float = 0.7, k: int = 60) -> DataFrame:
+    """Fusion by strategy name: rrf (also for unknown names), weighted or max."""
+    score, vs, ks = _score(strategy, alpha, k)
+    return _joined(vector, keyword).select("id", f32(score).alias("score"), F.lit("hybrid").alias("source"), vs.alias("vector_score"), ks.alias("keyword_score"))
+
+
+def rrf(vector: DataFrame, keyword: DataFrame, k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion: sum of 1 / (k + rank)."""
+    return fuse(vector, keyword, "rrf", k=k)
 
 
 def weighted(vector: DataFrame, keyword: DataFrame, alpha: float = 0.7) -> DataFrame:
     """alpha * normalised vector score + (1 - alpha) * normalised keyword score."""
-    v = normalize(vector.withColumn("score", f32(F.col("score")))).select("id", F.col("score").alias("vs"))
-    k = normalize(keyword.withColumn("score", f32(F.col("score")))).select("id", F.col("score").alias("ks"))
-    df = v.join(k, "id", "full_outer")
-    a = F.lit(alpha).cast("float") * F.coalesce("vs", _zero())
-    b = F.lit(1 - alpha).cast("float") * F.coalesce("ks", _zero())
-    return _out(df, a + b, F.col("vs"), F.col("ks"))
+    return fuse(vector, keyword, "weighted", alpha)
 
 
 def maximum(vector: DataFrame, keyword: DataFrame) -> DataFrame:
-    df = _both(vector, keyword)
-    zero = _zero()
-    return _out(df, F.greatest(F.coalesce("vs", zero), F.coalesce("ks", zero)), F.col("vs"), F.col("ks"))
-
-
-def fuse(vector: DataFrame, keyword: DataFrame, strategy: str = "rrf", alpha: float = 0.7, k: int = 60) -> DataFrame:
-    """By strategy name; unknown names mean rrf."""
-    if strategy == "weighted":
-        return weighted(vector, keyword, alpha)
-    return maximum(vector, keyword) if strategy == "max" else rrf(vector, keyword, k)
+    return fuse(vector, keyword, "max")
 
 
 def combine(vector: DataFrame, keyword: DataFrame, strategy: str = "rrf", alpha: float = 0.7, k: int = 60) -> DataFrame:
-    """Fusion where both lists have rows, else the one that has, in one plan without a job to look first."""
-    zero = _zero()
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    sides = F.broadcast(count(vector, "nv").crossJoin(count(keyword, "nk")))
-    alone_v = vector.select("id", f32(F.col("score")).alias("score"), F.lit("vector").alias("source"), zero.alias("vector_score"), zero.alias("keyword_score"))
-    alone_k = keyword.select("id", f32(F.col("score")).alias("score"), F.lit("keyword").alias("source"), zero.alias("vector_score"), f32(F.col("score")).alias("keyword_score"))
-    parts = [
-        fuse(vector, keyword, strategy, alpha, k).crossJoin(sides).filter("nv > 0 AND nk > 0"),
-        alone_v.crossJoin(sides).filter("nk = 0"),
-        alone_k.crossJoin(sides).filter("nv = 0"),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("nv", "nk")
+    """Fusion where both lists have rows, else the one that has; one plan, no job to look first."""
+    score, vs, ks = _score(strategy, alpha, k)
+    only_v, only_k = F.col("nk") == 0, F.col("nv") == 0
+    pick = lambda v, w, both: F.when(only_v, v).when(only_k, w).otherwise(both)
+    return _joined(vector, keyword).select(
+        "id",
+        f32(pick(F.col("vs"), F.col("ks"), score)).alias("score"),
+        pick(F.lit("vector"), F.lit("keyword"), F.lit("hybrid")).alias("source"),
+        f32(pick(_zero(), _zero(), vs)).alias("vector_score"),
+        f32(pick(_zero(), F.col("ks"), ks)).alias("keyword_score"),
+    )
 
 
 def dedup_first(results: DataFrame, order_col: str = "rank") -> DataFrame:

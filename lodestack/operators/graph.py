@@ -74,11 +74,14 @@ def stats(es: DataFrame, ns: DataFrame) -> DataFrame:
 
 
 def neighbours(es: DataFrame) -> DataFrame:
-    """(origin, id, class_order, edge_order) of all five expansion classes."""
-    out = lambda rel, k: es.filter(F.col("relation") == rel).select(F.col("src").alias("origin"), F.col("dst").alias("id"), F.lit(k).alias("class_order"), F.col("seq").alias("edge_order"))
-    w = Window.partitionBy("origin").orderBy("first_seq", "id")
-    back = lambda rel, k: es.filter(F.col("relation") == rel).groupBy(F.col("dst").alias("origin"), F.col("src").alias("id")).agg(F.min("seq").alias("first_seq")).withColumn("edge_order", F.row_number().over(w)).select("origin", "id", F.lit(k).alias("class_order"), "edge_order")
-    return out("call", 0).unionByName(back("call", 1)).unionByName(back("define", 2)).unionByName(out("define", 3)).unionByName(out("import", 4))
+    """(origin, id, class_order, edge_order) of all five expansion classes, in one pass over the edges.
+
+    An edge counts from both ends where its relation has a class there; parallel edges count once, at their first place.
+    """
+    step = lambda origin, other, k: F.struct(F.col(origin).alias("origin"), F.col(other).alias("id"), F.lit(k).alias("class_order"))
+    ways = F.when(F.col("relation") == "call", F.array(step("src", "dst", 0), step("dst", "src", 1)))
+    ways = ways.when(F.col("relation") == "define", F.array(step("dst", "src", 2), step("src", "dst", 3))).otherwise(F.array(step("src", "dst", 4)))
+    return es.select(F.explode(ways).alias("w"), "seq").groupBy("w.origin", "w.id", "w.class_order").agg(F.min("seq").cast("int").alias("edge_order"))
 
 
 def expand(results: DataFrame, es: DataFrame, ids: DataFrame, max_chunks: int = MAX_CHUNKS, classes: tuple[str, ...] = tuple(c for c, _ in CLASSES)) -> DataFrame:
@@ -130,12 +133,13 @@ def walk(originals: list, near: dict, max_depth: int, max_chunks: int) -> list[t
 
 def reachable(results: DataFrame, es: DataFrame, max_depth: int) -> DataFrame:
     """(origin, id, depth) along call edges from the originals, up to max_depth steps; each pair at its least depth."""
-    start = results.select(F.col("id").alias("origin"), "id", F.lit(0).alias("depth"))
-    calls = es.filter("relation = 'call'").select(F.col("src").alias("id"), "dst").distinct()
-    out, level = start, start
-    for d in range(1, max_depth + 1):
-        level = level.join(calls, "id").select("origin", F.col("dst").alias("id"), F.lit(d).alias("depth")).distinct().join(out.select("origin", "id"), ["origin", "id"], "left_anti")
-        out = out.unionByName(level)
+    calls = es.filter("relation = 'call'").select("src", "dst").distinct()
+    out = results.select(F.col("id").alias("origin"), "id", F.lit(0).alias("depth"))
+    for _ in range(max_depth):  # each step reads the one before once, so the plan grows by one join
+        here = F.struct(F.col("id"), F.col("depth"))
+        there = F.struct(F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth"))
+        step = out.join(calls, F.col("id") == F.col("src"), "left").select("origin", F.explode(F.array(here, there)).alias("r"))
+        out = step.filter("r.id IS NOT NULL").groupBy("origin", F.col("r.id").alias("id")).agg(F.min("r.depth").alias("depth"))
     return out
 
 

@@ -58,7 +58,7 @@ def local_query_tokens(query: str) -> list[str]:
     import unicodedata
 
     out, word = [], []
-    for c in query.strip().lower() + " ":
+    for c in query.lower() + " ":
         if c.isspace() and c not in "\x1c\x1d\x1e\x1f" or unicodedata.category(c).startswith("P"):
             if word:
                 out.append("".join(word))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -19,3 +19,12 @@ def tuned(spark: SparkSession) -> SparkSession:
     for k, v in DEFAULTS.items():
         spark.conf.set(k, v)
     return spark
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows by ``key`` where a scan has fewer partitions than the session has cores (one small file, one row group).
+
+    Scans of real size have more splits than cores and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -26,7 +26,7 @@ def classify(op):
 
 
 def debounce(events: DataFrame, gap: str = GAP, watermark: str | None = None, order_col: str | None = None) -> DataFrame:
-    """One row per burst of a path's events: the last event of each session with gaps under ``gap``.
+    """One row per burst of a path's events: the last event of each session with gaps up to ``gap``.
 
     The same plan serves tables and streams; a stream needs a watermark, after which closed sessions are emitted.
     """
