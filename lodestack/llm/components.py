@@ -13,17 +13,24 @@ def _toward_smaller(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("src") != F.col("dst")).select(a.alias("src"), b.alias("dst")).distinct()
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the least node of their src. The key is masked on the small side, so it gets an exchange of its own and a
+    hub's edges can be split over tasks as a skewed join."""
+    side = least.select(F.col("src").bitwiseXOR(F.lit(0).cast("long")).alias("_src"), "m")
+    return edges.join(side, F.col("src") == F.col("_src")).drop("_src")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the smallest node next to it."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"))
-    return both.join(least, "src").filter(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    return _with_least(both, least).filter(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("m").alias("dst"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the smallest of them."""
     least = edges.groupBy("src").agg(F.min("dst").alias("m"))
-    moved = edges.join(least, "src")
+    moved = _with_least(edges, least)
     return moved.select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(least.select("src", F.col("m").alias("dst")))
 
 

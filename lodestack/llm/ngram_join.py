@@ -26,7 +26,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytehash as bh
@@ -300,8 +300,9 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: i
     classes = work.table(profile.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
 
     keys = profile.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).select("doc_id", F.explode("bands").alias("key"))
-    least = F.min("doc_id").over(Window.partitionBy("key"))
-    proposals = keys.withColumn("m", least).filter(F.col("m") != F.col("doc_id")).select(F.col("doc_id").alias("src"), F.col("m").alias("dst")).distinct()
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("top")).filter("top > m")  # counted map-side, however hot a key
+    shared = shared.select(F.col("key").bitwiseXOR(F.lit(0).cast("long")).alias("_key"), "m")
+    proposals = keys.join(shared, F.col("key") == F.col("_key")).filter(F.col("m") != F.col("doc_id")).select(F.col("doc_id").alias("src"), F.col("m").alias("dst")).distinct()
     groups = work.table(components(spark, proposals, work, "proposals").withColumnsRenamed({"node": "doc_id", "component": "grp"}), "groups")
 
     sizes = groups.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id").groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("blocks"))
