@@ -28,12 +28,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group linked by five-word shingles at similarity 0.8 or more."""
+    """One document (the smallest doc_id) of each group linked by five-word shingles at similarity 0.8 or more.
+
+    Of rows that share an id one stays; rows without an id stay all.
+    """
     groups = ngram_join.join(spark, docs, k=5, num=80, den=100)
     first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source", "lang"))
     kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
-    return kept.withColumn("_n", F.row_number().over(same)).filter("_n = 1").select(*COLUMNS)
+    kept = kept.withColumn("_n", F.row_number().over(same)).filter("_n = 1").select(*COLUMNS)
+    return kept.unionByName(docs.select(*COLUMNS).filter(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
