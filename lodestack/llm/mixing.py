@@ -10,7 +10,7 @@ The words taken from a source thus differ from its target by less than one docum
 agree.
 
 Edge cases: null text has size 0; a null source is a source of its own, last in order; a source without words has target 0;
-documents of size 0 take nothing; equal rows are rounded one by one; an empty table gives an empty one.
+documents of size 0 take nothing; equal rows are rounded one by one; rows without an id are documents like others; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from .runtime import Workspace
 
 BUCKET = 4096
 BROADCAST_SOURCES = 100_000
+NO_ID = -(1 << 63)  # stands for a null id inside the rounding
 
 
 def word_count(text):
@@ -91,7 +92,7 @@ _ROW = "source string, source_size long, target double, doc_id long, ord int, si
 def mix(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, bucket: int = BUCKET) -> DataFrame:
     """``sized`` (doc_id, ord, source, size) with source_size, target and ``copies``; ord tells rows with one id apart."""
     work = Workspace(spark, "mix")
-    sized = work.table(sized.select("doc_id", "ord", "source", "size"), "sized")
+    sized = work.table(sized.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "ord", "source", "size"), "sized")
     per = work.table(targets(sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")), weights, cap), "targets")
     n_sources, most = per.agg(F.count(F.lit(1)), F.max("n_docs")).first()
     side = F.broadcast(per) if n_sources <= BROADCAST_SOURCES else per
@@ -111,7 +112,7 @@ def mix(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...] = (1,
         if n <= 1:
             break
         level, n = level.filter(open_), ceil(n / bucket)
-    return done.select("doc_id", "ord", "source", "size", "source_size", "target", (F.col("base") + F.col("p")).cast("bigint").alias("copies"))
+    return done.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "ord", "source", "size", "source_size", "target", (F.col("base") + F.col("p")).cast("bigint").alias("copies"))
 
 
 def report(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, bucket: int = BUCKET) -> DataFrame:

@@ -14,7 +14,7 @@ Two documents link when ``den * |A & B| >= num * |A | B|`` for their sets A, B o
    compared with the star's members. No step lists the pairs of a group.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing; a text with fewer than k words has one
-shingle, the whole sequence; rows that share an id count as one document; ties don't occur (ids are compared); an empty
+shingle, the whole sequence; rows that share an id count as one document; a row without an id has no component of its own (null, or that of its copies); ties don't occur (ids are compared); an empty
 table gives an empty result; extra columns are ignored.
 """
 

@@ -41,7 +41,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = language_id.fit(docs.filter(~held_out))
     out = language_id.predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
