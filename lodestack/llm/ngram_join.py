@@ -5,6 +5,8 @@ Two documents link when ``den * |A & B| >= num * |A | B|`` for their sets A, B o
 1. Documents with equal sets form a class (128-bit fingerprint); its smallest id stands for it.
 2. Classes are dealt into search groups: min-hash bands whose miss probability for a pair at the threshold is below
    ``MISS`` (1e-12) propose neighbours, and connected proposals form a group. Bands only decide who is searched together.
+   The documents of a group too large for one task are banded again, with more rows a band (same bound): a group that grew by
+   chance through shared passages falls apart, a group of real near-copies stays.
 3. Inside a group an inverted index answers T-occurrence searches: the T-driven number of longest lists is set aside, the
    short sorted lists are merged with a run-merging sort, and survivors are binary-probed in the long lists. Found documents
    leave the index, so a dense group costs about one pass over its postings, not a pass per pair.
@@ -35,13 +37,16 @@ from .runtime import Workspace
 
 MISS = 1e-12
 BLOCK_SHINGLES = 2_000_000
+STRICT_ROWS = 8
 
 
-def banding(num: int, den: int) -> tuple[int, int]:
+def banding(num: int, den: int, rows: int | None = None) -> tuple[int, int]:
     """(bands, rows): a pair at the threshold shares no band with probability under MISS."""
     t = num / den
-    rows = max(1, min(4, round(log(0.6) / log(t)) if t < 1 else 4))
-    return (1, 1) if t >= 1 else (ceil(log(MISS) / log(1 - t**rows)), rows)
+    if t >= 1:
+        return 1, 1
+    rows = rows or (4 if t >= 0.85 else 3)
+    return ceil(log(MISS) / log(1 - t**rows)), rows
 
 
 def _bands(row: np.ndarray, h: np.ndarray, n_rows: int, bands: int, rows: int) -> np.ndarray:
@@ -89,12 +94,12 @@ def _sets(text_col: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, starts, ends = bh.column(batch, text_col)
-            rest = [batch.schema.get_field_index(c) for c in ("grp", "blocks", "doc_id")]
+            rest = [batch.schema.get_field_index(c) for c in ("grp", "doc_id")]
             for i, j in bh.groups(starts, ends):
                 row, h = bh.shingles(buf, starts[i:j], ends[i:j], k)
                 cut = np.searchsorted(row, np.arange(j - i + 1))
                 cells = [h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in rest] + [pa.array(cells, pa.binary())], names=["grp", "blocks", "doc_id", "sh"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in rest] + [pa.array(cells, pa.binary())], names=["grp", "doc_id", "sh"])
 
     return run
 
@@ -216,6 +221,45 @@ def _cells(table: pa.Table, name: str) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in table.column(name).to_pylist()]
 
 
+def _strict_keys(bands: int, rows: int):
+    """(doc_id, key) of stored sets under a stricter banding."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum([len(x) // 8 for x in batch.column(1).to_pylist()])
+            i = 0
+            while i < batch.num_rows:
+                before = sizes[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(sizes, before + 200_000, side="right")))
+                sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).slice(i, j - i).to_pylist()]
+                row = np.repeat(np.arange(j - i), [len(x) for x in sets])
+                keys = _bands(row, np.concatenate(sets), j - i, bands, rows)
+                ids = batch.column(0).slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), bands)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel().view(np.int64))], names=["doc_id", "key"])
+                i = j
+
+    return run
+
+
+def _proposals(keys: DataFrame) -> DataFrame:
+    """Edges (src, dst) from each document to the smallest one that shares a band key with it.
+
+    Keys are counted map-side, however hot; the mask gives the small side an exchange of its own, so a hot key can be split.
+    """
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("top")).filter("top > m")
+    shared = shared.select(F.col("key").bitwiseXOR(F.lit(0).cast("long")).alias("_key"), "m")
+    found = keys.join(shared, F.col("key") == F.col("_key")).filter(F.col("m") != F.col("doc_id"))
+    return found.select(F.col("doc_id").alias("src"), F.col("m").alias("dst")).distinct()
+
+
+def _blocked(sets: DataFrame, block_shingles: int) -> DataFrame:
+    """Sets (grp, doc_id, sh) with the number of blocks of their group and their own block."""
+    sizes = sets.groupBy("grp").agg(F.ceil(F.sum(F.length("sh")) / F.lit(8 * block_shingles)).cast("int").alias("blocks"))
+    sizes = sizes.select(F.col("grp").bitwiseXOR(F.lit(0).cast("long")).alias("_grp"), "blocks")  # masked, so a large group can be split
+    out = sets.select("grp", "doc_id", "sh").join(sizes, F.col("grp") == F.col("_grp")).drop("_grp")
+    return out.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+
+
 def _link_blocks(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (grp, block), table in _keyed(batches, ["grp", "block"]):
@@ -300,20 +344,24 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: i
     classes = work.table(profile.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
 
     keys = profile.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).select("doc_id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("top")).filter("top > m")  # counted map-side, however hot a key
-    shared = shared.select(F.col("key").bitwiseXOR(F.lit(0).cast("long")).alias("_key"), "m")
-    proposals = keys.join(shared, F.col("key") == F.col("_key")).filter(F.col("m") != F.col("doc_id")).select(F.col("doc_id").alias("src"), F.col("m").alias("dst")).distinct()
-    groups = work.table(components(spark, proposals, work, "proposals").withColumnsRenamed({"node": "doc_id", "component": "grp"}), "groups")
-
-    sizes = groups.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id").groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "grp").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = narrow.join(placed, "doc_id").select("grp", "blocks", "doc_id", "text").mapInArrow(_sets("text", k), "grp long, blocks int, doc_id long, sh binary")
-    sets = work.table(sets.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "sets")
+    groups = work.table(components(spark, _proposals(keys), work, "proposals").withColumnsRenamed({"node": "doc_id", "component": "grp"}), "groups")
+    placed = groups.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = narrow.join(placed, "doc_id").select("grp", "doc_id", "text").mapInArrow(_sets("text", k), "grp long, doc_id long, sh binary")
+    sets = work.table(_blocked(work.table(sets, "raw-sets"), block_shingles), "sets")
+    work.drop("raw-sets")
+    large = sets.filter("blocks > 1").select("doc_id", "sh")
+    if large.limit(1).count():
+        strict = work.table(large.mapInArrow(_strict_keys(*banding(num, den, STRICT_ROWS)), "doc_id long, key long"), "strict-keys")
+        again = components(spark, _proposals(strict), work, "strict").withColumnsRenamed({"node": "doc_id", "component": "grp"})
+        again = _blocked(work.table(large.join(again, "doc_id").select("grp", "doc_id", "sh"), "strict-sets"), block_shingles)
+        sets = work.table(sets.filter("blocks = 1").unionByName(again), "all-sets")
+        work.drop("strict-keys")
+        work.drop("strict-sets")
     dealt = sets.repartition("grp", "block").sortWithinPartitions("grp", "block").select("grp", "block", "doc_id", "sh")
     found = work.table(dealt.mapInArrow(_link_blocks(num, den), "grp long, block int, doc_id long, label long, centre long"), "found")
 
     edges = found.filter(F.col("label") != F.col("doc_id")).select(F.col("doc_id").alias("src"), F.col("label").alias("dst"))
-    if sizes.filter("blocks > 1").limit(1).count():
+    if sets.filter("blocks > 1").limit(1).count():
         edges = edges.unionByName(_between_blocks(spark, work, sets, found, num, den, block_shingles))
     labels = components(spark, edges, work, "links").withColumnsRenamed({"node": "rep"})
     named = classes.join(labels, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("c"))

@@ -80,5 +80,6 @@ def test_empty_table(spark):
 
 def test_bands_miss_less_than_stated():
     for num in (80, 90, 95, 100):
-        bands, rows = ngram_join.banding(num, 100)
-        assert (1 - (num / 100) ** rows) ** bands <= ngram_join.MISS
+        for want in (None, ngram_join.STRICT_ROWS):
+            bands, rows = ngram_join.banding(num, 100, want)
+            assert (1 - (num / 100) ** rows) ** bands <= ngram_join.MISS
