@@ -48,11 +48,12 @@ class ChunkStore:
         out = self._fs.create(part, True)
         out.write(bytearray(json.dumps(head).encode()))
         out.close()
-        now = self._path(f"{self.path}/CURRENT")
-        if self._fs.exists(now):
-            self._fs.delete(now, False)
-        if not self._fs.rename(part, now):
-            raise IOError(f"could not replace {now}")
+        sc, jvm = self.spark.sparkContext, self.spark.sparkContext._jvm
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = sc._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE  # one step: there is always a pointer
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration())
+        context.rename(part, self._path(f"{self.path}/CURRENT"), how)
 
     # reads ---------------------------------------------------------------------------------------------------------------
     def _read(self, table: str, buckets: list[str] | None = None) -> DataFrame:
