@@ -56,7 +56,7 @@ def featurize(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     key = (row.astype(np.uint64) << np.uint64(BITS)) | feat
     key, times = np.unique(key, return_counts=True)
     row, feat = (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
-    dense = np.minimum(1.0, 30.0 * times / np.maximum(words[row], 20))
+    dense = np.minimum(1.0, 60.0 * times / np.maximum(words[row], 20))
 
     def per_text(mask: np.ndarray) -> np.ndarray:
         c = np.concatenate([[0], np.cumsum(mask)])
@@ -79,7 +79,7 @@ def featurize(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     size = 1 << BITS
     out_row = np.concatenate([row, row, each])
     out_feat = np.concatenate([feat, feat + size, shape_feat + 2 * size])
-    value = np.concatenate([np.full(len(feat), 0.15), dense, np.ones(len(each))])
+    value = np.concatenate([np.full(len(feat), 0.05), dense, np.ones(len(each))])
     order = np.argsort(out_row, kind="stable")
     return out_row[order], out_feat[order].astype(np.int32), value[order].astype(np.float32)
 
@@ -94,7 +94,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.theta[None, :] - s[:, None], -40, 40)))
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int = 3, epochs: int = 8, rate: float = 0.1, l2: float = 2e-3, min_docs: int = 15, seed: int = 3) -> Model:
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int = 3, epochs: int = 24, rate: float = 0.1, l2: float = 2e-3, min_docs: int = 15, seed: int = 3) -> Model:
     """Fit on (grade, features, values) of each labelled text; features of fewer than ``min_docs`` texts keep weight 0."""
     if rows:
         held = np.bincount(np.concatenate([f for _, f, _ in rows]), minlength=3 << BITS)
