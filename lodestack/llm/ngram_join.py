@@ -346,7 +346,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: i
     keys = profile.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).select("doc_id", F.explode("bands").alias("key"))
     groups = work.table(components(spark, _proposals(keys), work, "proposals").withColumnsRenamed({"node": "doc_id", "component": "grp"}), "groups")
     placed = groups.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = narrow.join(placed, "doc_id").select("grp", "doc_id", "text").mapInArrow(_sets("text", k), "grp long, doc_id long, sh binary")
+    sets = narrow.join(placed.hint("merge"), "doc_id").select("grp", "doc_id", "text").mapInArrow(_sets("text", k), "grp long, doc_id long, sh binary")
     sets = work.table(_blocked(work.table(sets, "raw-sets"), block_shingles), "sets")
     work.drop("raw-sets")
     large = sets.filter("blocks > 1").select("doc_id", "sh")
