@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where the session names none."""
@@ -40,7 +42,9 @@ class Workspace:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A whole table; one that comes as fewer splits than there are cores is dealt out by its id."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df, df.columns[0])
 
 
 def text_or_empty(name: str = "text"):
