@@ -49,14 +49,13 @@ class Engine:
             parsed = parsers.parse(done.select("path", "content"))
             cut = chunker.chunk(parsed, self.config.max_chunk_size, self.config.chunk_overlap)
             rows = models.with_embeddings(cut, self.embedder)
-            self.spark.sparkContext.setJobDescription("index")
-            status = self._status(scanned, todo, failed, cut).collect()  # one row per scanned file of this run
+            self.store.write_single("status", self._status(scanned, todo, failed, cut))
             self.store.upsert(rows, done.select(F.col("path").alias("file_path")))
             fresh = done.select("path", "md5", "mtime")
             manifest = self.store.manifest().join(fresh.select("path"), "path", "left_anti").unionByName(fresh)
             self.store.write_single("manifest", manifest)
             self._write_graph()
-            return self.spark.createDataFrame(status, STATUS)
+            return self.store.single("status", STATUS)
         finally:
             scanned.unpersist()
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import not_found, validation
-from ..operators import index
+from ..functions import text
 from ..schema import CHUNKS, MANIFEST, POSTINGS
 
 TABLES = {"chunks": CHUNKS, "postings": POSTINGS + ", file_path string", "docs": "id string, dl bigint, preview string, file_path string"}
@@ -109,10 +109,10 @@ class ChunkStore:
         spread = max(1, min(len(touched), 4 * self.spark.sparkContext.defaultParallelism))
         rows.repartition(spread, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}/chunks")
         fresh = self.spark.read.schema(CHUNKS + ", bucket int").parquet(f"{self.path}/{version}/chunks")
-        toks = index.tokenized(fresh, "id", "content").join(fresh.select("id", "file_path", "bucket"), "id")
+        toks = fresh.select("id", "file_path", "bucket", text.tokens(F.col("content")).alias("tokens"), text.preview(F.col("content")).alias("preview"))
         posts = toks.select("id", "file_path", "bucket", F.explode("tokens").alias("term")).groupBy("term", "id", "file_path", "bucket").agg(F.count(F.lit(1)).alias("tf"))
         posts.repartition(spread, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{version}/postings")
-        docs = index.doc_stats(fresh).join(fresh.select("id", "file_path", "bucket"), "id")
+        docs = toks.select("id", F.size("tokens").cast("bigint").alias("dl"), "preview", "file_path", "bucket")
         docs.repartition(spread, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}/docs")
         head["versions"].update({b: version for b in touched})
         self._save(head)
