@@ -4,12 +4,13 @@ One pass of a tokenizer turns a page into blocks (runs of text between block-lev
 Text of menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments is known by
 element, role or class and never becomes a block. For every tag path the text length and the punctuation of all its blocks
 are aggregated; the ratios per block are smoothed over neighbouring blocks, fused by their geometric mean, and paths above a
-threshold are content. The element that holds the content paths (the article) then gives the text: all of its blocks, so
-short paragraphs and headings between long ones stay.
+threshold are content. The deepest element that holds all content blocks and headings (the article) then gives the text: all
+of its blocks, so short paragraphs and headings before, between and after long ones stay. Content outside all article and main
+elements counts only where those don't hold nine tenths of it.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are trimmed and joined by newlines
 in page order. Null or empty html, or a page without content, gives an empty text. Unclosed and stray tags are tolerated.
-Repeated rows give repeated rows; ties between containers go to the deeper one. Pages are handled whole, one at a time.
+Repeated rows give repeated rows. Pages are handled whole, one at a time.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ RAW = set("script style noscript template textarea title iframe noembed noframes
 SKIP = RAW | set("nav footer aside form button select option menu dialog object applet svg math canvas audio video head datalist fieldset".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = set("article main body html".split())
+MARKED = {"article", "main"}
 HOLDERS = set("article main section div body html center".split())
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NEVER = set(
@@ -202,7 +205,7 @@ def path_scores(found: list[Block], reach: int = 2) -> np.ndarray:
 
 
 def extract(page: str | None, share: float = 0.9) -> str:
-    """The article's text; ``share`` of the selected characters decide which element is the article."""
+    """The article's text. If article and main elements hold ``share`` of the selected characters, the rest of the page is not it."""
     found = blocks(page or "")
     if not found:
         return ""
@@ -212,28 +215,26 @@ def extract(page: str | None, share: float = 0.9) -> str:
         by_path[b.path] = max(by_path.get(b.path, 0.0), s)
     cut = min(float(np.mean(score)), float(np.max(score)) * 0.5)
     chosen = [b for b in found if by_path[b.path] >= cut] or found
-    total = sum(len(b.text) for b in chosen)
-    held: dict[int, int] = {}
-    for b in chosen:
-        for a in b.ancestors:
-            held[a] = held.get(a, 0) + len(b.text)
-    inside = [a for a, c in held.items() if c >= share * total]
     paths = {id(b) for b in chosen}
-    root = max(inside, default=None)  # numbers grow inwards, so the deepest element that holds the share
-    if root is not None:
-        first = next(b for b in chosen if root in b.ancestors)
-        names, k = first.path.split("/"), first.ancestors.index(root)
-        while k and names[k] not in HOLDERS:  # a paragraph or list is part of an article, not one
-            k -= 1
-        for tag in ("article", "main"):
-            if tag in names[: k + 1]:
-                k = max(i for i in range(k + 1) if names[i] == tag)
-                break
-        root = first.ancestors[k]
+    marked = {id(b) for b in found if MARKED & set(b.path.split("/"))}
+    inside = sum(len(b.text) for b in chosen if id(b) in marked)
+    if inside >= share * sum(len(b.text) for b in chosen):
+        held = [b for b in found if id(b) in marked and (id(b) in paths or b.path.endswith("/h1"))]
+    else:
+        held = chosen + [b for b in found if b.heading and b.linked * 2 <= len(b.text)]
+    common = commonprefix([b.ancestors for b in held])  # the way from the root to the deepest element around them all
+    names = held[0].path.split("/")[: len(common)]
+    while names and names[-1] not in HOLDERS:  # a paragraph or list is part of an article, not one
+        names.pop()
+    for tag in ("article", "main"):
+        if tag in names:
+            names = names[: len(names) - names[::-1].index(tag)]
+            break
+    root = common[len(names) - 1] if names else None  # none: the whole page
     out = []
     for b in found:
         if root is None or root in b.ancestors:
-            if id(b) in paths or root is not None and (b.heading or b.linked * 2 <= len(b.text)):
+            if id(b) in paths or b.heading or b.linked * 2 <= len(b.text):
                 out.append(b.text)
     return "\n".join(out)
 

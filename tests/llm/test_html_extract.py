@@ -42,6 +42,20 @@ def test_malformed_and_long():
     assert html_extract.extract(f"<article><p>{words}</p></article>") == squash(words)
 
 
+def test_pages_without_an_article_element_keep_every_selected_block():
+    one = squash(LONG)
+    ten = f"<p>{LONG}</p>" * 10
+    want = ["Title", "lead", *[one] * 10]
+    for page in (f"<div class=post><h1>Title</h1><p>lead</p><div class=body>{ten}</div></div>", f"<h1>Title</h1><p>lead</p><div>{ten}</div>"):
+        assert html_extract.extract(f"<body>{page}</body>").split("\n") == want
+        assert html_extract.extract(page).split("\n") == want
+    assert html_extract.extract(f"<body><section>{LONG * 9}</section><section>Short one, here.</section></body>").endswith("\nShort one, here.")
+    assert html_extract.extract(f"<body><main><h1>Title</h1><p>lead</p><article>{ten}</article></main><div>No, not this.</div></body>").split("\n") == want
+    assert html_extract.extract(f"<body><article>{ten}</article><article><p>Short one, here.</p></article></body>").endswith("\nShort one, here.")
+    menu = "<div><ul>" + "<li><a href=/x>Go there</a></li>" * 5 + "</ul></div>"
+    assert html_extract.extract(f"<body>{menu}<div><h2>Title</h2><div>{ten}</div></div></body>").split("\n") == ["Title", *[one] * 10]
+
+
 def test_smoothed_scores_prefer_text_paths():
     found = html_extract.blocks("<body><div><p>" + LONG + "</p><p>" + LONG + "</p></div><ul>" + "<li><a>go</a></li>" * 9 + "</ul></body>")
     score = html_extract.path_scores(found)
