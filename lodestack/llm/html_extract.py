@@ -2,7 +2,9 @@
 
 One pass of a tokenizer turns a page into blocks (runs of text between block-level tags) with their root-to-leaf tag path.
 Text of menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments is known by
-element, role or class and never becomes a block. For every tag path the text length and the punctuation of all its blocks
+element, role or class and never becomes a block. Class and id don't count for an element that holds most of the page's
+unlinked text (if it is named for text by others, such as comments, only where no other text is left) or the only h1, nor
+where nothing else is left; an article element is judged by undivided names only. For every tag path the text length and the punctuation of all its blocks
 are aggregated; the ratios per block are smoothed over neighbouring blocks, fused by their geometric mean, and paths above a
 threshold are content. The deepest element that holds all content blocks and headings (the article) then gives the text: all
 of its blocks, so short paragraphs and headings before, between and after long ones stay. Content outside all article and main
@@ -46,7 +48,14 @@ NEVER = set(
     "replies respond login signin signup register search toolbar pagination pager copyright legal disclaimer alert banner "
     "widget sitemap skip form hidden".split()
 )
+# Of these, words for text by others that can be longer than the article; the rest name parts of a layout, or topics.
+OTHERS = set(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal "
+    "overlay newsletter subscribe subscription related recommended recommendations comment comments commentlist disqus reply replies "
+    "respond disclaimer copyright".split()
+)
 AROUND = set("has with no without".split())
+TOPICS = set("category tag topic".split())  # category-legal, tag-search: what an article is about
 # End tags that a start tag implies: the start tag, and the open elements it closes up to the scope.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select", "datalist"}, "optgroup": {"select"}}
@@ -73,29 +82,57 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _boilerplate(tag: str, raw: str) -> bool:
-    """Whether role, class, id or visibility mark an element as something other than the article."""
-    if not raw.strip() or tag in CONTAINERS - {"article"}:
-        return False
-    a = _attributes(raw)
+def _hidden(a: dict[str, str]) -> bool:
+    """Whether role or visibility mark an element as something other than the article."""
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
-    if a.get("role", "").lower() in ROLES:
-        return True
+    return a.get("role", "").lower() in ROLES
+
+
+def _named(a: dict[str, str], whole: bool) -> set[str]:
+    """Words of class and id that mark an element as something other than the article; with ``whole`` only undivided names."""
+    out = set()
     for name in (*a.get("class", "").split(), a.get("id", "")):
         parts = [p.lower() for p in PIECES.findall(name)]
-        for k, p in enumerate(parts):
-            if p in NEVER and not (k and parts[k - 1] in AROUND):
-                return True
-    return False
+        if parts and parts[0] not in TOPICS and not (whole and len(parts) > 1):
+            out |= {p for k, p in enumerate(parts) if p in NEVER and not (k and parts[k - 1] in AROUND)}
+    return out
+
+
+@dataclass
+class Named:
+    """What the elements marked by class or id hold, by element number, in characters that are not in links."""
+
+    words: dict[int, set[str]]
+    chars: dict[int, int]
+    titled: set[int]  # with an h1 inside
+    total: int = 0
+    plain: int = 0  # text besides headings that is in no element named for text by others
+    title: bool = False  # an h1 outside all of them
+
+    def wrappers(self) -> set[int]:
+        """Those that hold most of the page's text or its only h1, and so the article."""
+        most = {i for i, c in self.chars.items() if 2 * c > self.total and not (self.plain and self.words[i] & OTHERS)}
+        return most | (set() if self.title else self.titled)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page outside elements that never hold article text, in order."""
+    named = Named({}, {}, set())
+    found = _scan(page, named, set())
+    if wrappers := named.wrappers():
+        found = _scan(page, Named({}, {}, set()), wrappers)
+    if not found and named.words:
+        found = _scan(page, Named({}, {}, set()), set(named.words))
+    return found
+
+
+def _scan(page: str, named: Named, spared: set[int]) -> list[Block]:
+    """One pass over a page; class and id don't count for the elements in ``spared``. Fills ``named``."""
     out: list[Block] = []
-    tags, ids, skips = [], [], []  # open elements: name, number, whether inside skipped text
+    tags, ids, skips, marks = [], [], [], []  # open elements: name, number, whether inside skipped text, numbers of named ones around
     words: list[str] = []
-    linked, links, number, at, n = 0, 0, 0, 0, len(page)
+    linked, links, titles, number, at, n = 0, 0, 0, 0, 0, len(page)
 
     def flush() -> None:
         nonlocal linked
@@ -108,16 +145,29 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     def close(depth: int) -> None:
-        nonlocal links
+        nonlocal links, titles
         while len(tags) > depth:
             if tags[-1] not in INLINE:
                 flush()
             links -= tags[-1] == "a"
-            tags.pop(), ids.pop(), skips.pop()
+            titles -= tags[-1] == "h1"
+            tags.pop(), ids.pop(), skips.pop(), marks.pop()
 
     def text(raw: str) -> None:
         nonlocal linked
-        if raw and not (skips and skips[-1]):
+        if not raw or skips and skips[-1]:
+            return
+        own = marks[-1] if marks else ()
+        size = 0 if links else len(raw.strip())
+        named.total += size
+        for i in own:
+            named.chars[i] += size
+        if size and not any(named.words[i] & OTHERS for i in own) and not any(t in HEADINGS for t in tags):
+            named.plain += size
+        if titles and not raw.isspace():
+            named.titled.update(own)
+            named.title |= not own
+        if not own:
             if "&" in raw:
                 raw = entities.unescape(raw)
             words.append(raw)
@@ -149,7 +199,7 @@ def blocks(page: str) -> list[Block]:
                 flush() if name == "p" else words.append(" ")
             continue
         if name == "br" or name == "wbr":
-            if name == "br" and not (skips and skips[-1]):
+            if name == "br" and not (skips and (skips[-1] or marks[-1])):
                 words.append("\n")
             continue
         if name not in INLINE:
@@ -171,13 +221,19 @@ def blocks(page: str) -> list[Block]:
         if name in VOID or m[3].endswith("/") and name not in RAW and name not in CONTAINERS and name not in ("p", "div", "span", "a", "b", "i"):
             continue
         number += 1
-        skip = (skips[-1] if skips else False) or name in SKIP or _boilerplate(name, m[3])
+        a = _attributes(m[3]) if m[3].strip() and name not in CONTAINERS - {"article"} else {}
+        skip = (skips[-1] if skips else False) or name in SKIP or _hidden(a)
         if name == "header":  # a page's header goes; of an article's header only the heading stays
             skip = skip or not any(t in ("article", "main") for t in tags)
         elif not skip and name not in HEADINGS and name not in INLINE and "header" in tags:
             skip = name not in ("div", "hgroup")
-        tags.append(name), ids.append(number), skips.append(skip)
+        mark = marks[-1] if marks else ()
+        if not skip and number not in spared and (found := _named(a, name == "article" and "article" not in tags)):
+            named.words[number], named.chars[number] = found, 0
+            mark = (*mark, number)
+        tags.append(name), ids.append(number), skips.append(skip), marks.append(mark)
         links += name == "a"
+        titles += name == "h1"
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else n

@@ -56,6 +56,28 @@ def test_pages_without_an_article_element_keep_every_selected_block():
     assert html_extract.extract(f"<body>{menu}<div><h2>Title</h2><div>{ten}</div></div></body>").split("\n") == ["Title", *[one] * 10]
 
 
+def test_class_names_of_wrappers_and_topics_lose_nothing():
+    one = squash(LONG)
+    body = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = ["Title", one, one]
+    for tag in ('article class="post category-legal tag-search"', 'div class="layout sidebar-right"', 'div id="search-page"', 'div class="menu"', 'section class="legal"'):
+        end = tag.split()[0]
+        for around in ("", '<div class="ad">Buy, buy, buy now!</div>', "<div><a href=/>Home</a></div>"):
+            assert html_extract.extract(f"<body>{around}<{tag}>{body}</{end}></body>").split("\n") == want
+    assert html_extract.extract(f'<body><div class="search-wrap"><div class="legal-page">{body}<div class="ad-slot">Buy!</div></div></div></body>').split("\n") == want
+    assert html_extract.extract('<body><div class="post-banner"><h1>Title</h1></div>' + body[14:] + "</body>").split("\n") == want
+    posts = f'<article class="post tag-search"><p>{LONG}</p></article><article class="post"><p>{LONG}</p></article><div class="category-legal"><p>{LONG}</p></div>'
+    assert html_extract.extract(f"<body>{posts}</body>").split("\n") == [one] * 3
+
+
+def test_long_text_by_others_stays_out():
+    for name in ("comments", "comments-area", "cookie-consent", "related", "ad"):
+        page = f'<body><div class="layout sidebar-right"><h1>Title</h1><p>One short line, here.</p><div id="{name}"><p>{LONG * 5}</p></div></div></body>'
+        assert html_extract.extract(page).split("\n") == ["Title", "One short line, here."]
+    page = f'<body><div class="masthead"><h1>Site</h1></div><article><h1>Title</h1><p>{LONG}</p></article></body>'
+    assert html_extract.extract(page).split("\n") == ["Title", squash(LONG)]
+
+
 def test_smoothed_scores_prefer_text_paths():
     found = html_extract.blocks("<body><div><p>" + LONG + "</p><p>" + LONG + "</p></div><ul>" + "<li><a>go</a></li>" * 9 + "</ul></body>")
     score = html_extract.path_scores(found)
