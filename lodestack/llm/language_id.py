@@ -3,8 +3,9 @@
 A text's features are its byte n-grams of one to three bytes (A-Z lower-cased; digits and ASCII punctuation read as
 blanks), hashed to buckets. The text's vector is the mean of the buckets' embeddings, and a softmax layer scores the
 languages. Training is stochastic gradient descent over short segments of a bounded, documented sample of labelled rows
-(``max_docs`` rows with the lowest id hashes, ``SEGMENTS`` evenly spaced segments of each). A temperature is fitted on a
-validation part, and the rejection threshold accepts ``accept`` of its correct predictions.
+(``max_docs`` rows, dealt evenly to the languages; what a rare language leaves goes to the others, and each has one at least,
+so the total is ``max_docs`` or the number of languages. Of a language, those with the lowest id hashes are taken, and
+``SEGMENTS`` evenly spaced segments of each). A temperature is fitted on a validation part, and the rejection threshold accepts ``accept`` of its correct predictions.
 
 Prediction reads whole texts. Embedding and softmax weights fold into one bucket-by-language table, which is all that is
 broadcast (its size is bounded by the buckets and the number of languages). Null text, or text without a letter, is
@@ -27,6 +28,7 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SEGMENTS, SEGMENT_BYTES = 4, 192
 UNKNOWN = "und"
+SLOT_BITS = 10
 
 
 def _fold() -> np.ndarray:
@@ -178,11 +180,43 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(out, pa.binary())], names=["lang", "segment"])
 
 
+def shares(counts: dict[str, int], total: int) -> dict[str, int]:
+    """Rows that each language gets of ``total``: even parts, where what a small one leaves goes to the others; one at least."""
+    out, left = {}, total
+    for k, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = max(1, min(counts[lang], left // (len(counts) - k)))
+        left -= out[lang]
+    return out
+
+
+def sample(rows: DataFrame, max_docs: int) -> DataFrame:
+    """(doc_id, lang) of the rows to train on: of each language its share, by the lowest id hashes."""
+    hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    slot = F.shiftright("h", 64 - SLOT_BITS)
+    slots: dict[str, list[tuple[int, int]]] = {}
+    for r in hashed.groupBy("lang", slot.alias("slot")).count().collect():  # numbers only, at most 2 ** SLOT_BITS a language
+        slots.setdefault(r.lang, []).append((r.slot, r["count"]))
+    share = shares({lang: sum(n for _, n in x) for lang, x in slots.items()}, max_docs)
+    last = []
+    for lang, x in slots.items():
+        x, need = sorted(x), share[lang]
+        while need > 0:
+            at, n = x.pop(0)
+            need -= n
+        last.append((lang, at))
+    spark = rows.sparkSession
+    near = hashed.join(F.broadcast(spark.createDataFrame(last, "lang string, last long")), "lang").filter(slot <= F.col("last"))
+    best: dict[str, list] = {}
+    for r in near.collect():  # ids only, the shares and at most one slot more of each language
+        best.setdefault(r.lang, []).append((r.h, r.doc_id))
+    chosen = {(i, lang) for lang, x in best.items() for _, i in sorted(x)[: share[lang]]}
+    return spark.createDataFrame(sorted(chosen), rows.select("doc_id", "lang").schema)
+
+
 def fit(docs: DataFrame, max_docs: int = 4000) -> Model:
-    """Train on a bounded sample of rows with text and lang (the ``max_docs`` lowest id hashes)."""
+    """Train on a bounded sample of rows with text and lang (``max_docs`` of them, dealt evenly to the languages)."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(max_docs).select("doc_id").distinct()
-    rows = rows.join(F.broadcast(chosen), "doc_id")  # at most max_docs ids; texts never go through the sort
+    rows = rows.join(F.broadcast(sample(rows, max_docs)), ["doc_id", "lang"])  # ids only; texts never go through a sort
     got = rows.select("lang", "text").mapInArrow(_segments, "lang string, segment binary").collect()
     return train(sorted((r.lang, bytes(r.segment)) for r in got))
 

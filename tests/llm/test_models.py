@@ -32,6 +32,21 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.predict(df, none).collect()} == {"und"}
 
 
+def test_rare_languages_are_trained_on(spark):
+    words = {"en": "the house and the river of", "de": "das Haus und der Fluss von", "eo": "ĉiuj ŝipoj ĝuas ĵaŭdon"}
+    hashed = {r.id: r.h for r in spark.range(2400).select("id", F.xxhash64("id").alias("h")).collect()}
+    order = sorted(hashed, key=hashed.get)
+    lang = ["eo" if i in order[-2:] else "en" if i % 3 else "de" for i in range(2400)]  # eo is not among the lowest hashes
+    docs = spark.createDataFrame([(i, f"{words[g]} {words[g]} {i}", g) for i, g in enumerate(lang)], "doc_id long, text string, lang string")
+    got = language_id.sample(docs, 300).collect()
+    for g, n in (("eo", 2), ("de", 149), ("en", 149)):
+        assert {r.doc_id for r in got if r.lang == g} == set([i for i in order if lang[i] == g][:n])
+    model = language_id.fit(docs, max_docs=300)
+    assert model.languages == ["de", "en", "eo"]
+    assert language_id.predict(spark.createDataFrame([(1, words["eo"])], "doc_id long, text string"), model).first().lang_pred == "eo"
+    assert language_id.shares({"a": 9, "b": 1, "c": 9}, 2) == {"b": 1, "a": 1, "c": 1} and language_id.shares({"a": 9, "b": 1}, 6) == {"b": 1, "a": 5}
+
+
 def test_language_scores_are_means_of_features(spark):
     import pyarrow as pa
 
