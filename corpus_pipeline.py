@@ -30,14 +30,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group linked by five-word shingles at similarity 0.8 or more.
 
-    Of rows that share an id one stays; rows without an id stay all.
+    A document is an id with a text, known by a 64-bit hash of both: rows that share an id stay each in their own group, and
+    only rows of one group compete. Of rows alike in id and text one stays; rows without an id stay all.
     """
-    groups = ngram_join.join(spark, docs, k=5, num=80, den=100)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source", "lang"))
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
+    docs = docs.select(*COLUMNS).withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    keyed = docs.filter(F.col("doc_id").isNotNull())
+    groups = ngram_join.join(spark, docs, k=5, num=80, den=100, id_col="_key")
+    groups = groups.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group"))
+    members = keyed.select("doc_id", "_key").distinct().join(groups.distinct(), "_key")
+    first = members.groupBy("_group").agg(F.min(F.struct("doc_id", "_key")).alias("m")).select("m.doc_id", "m._key")
+    same = Window.partitionBy("doc_id", "_key").orderBy(F.xxhash64("text", "source", "lang"))
+    kept = keyed.join(first, ["doc_id", "_key"], "left_semi")
     kept = kept.withColumn("_n", F.row_number().over(same)).filter("_n = 1").select(*COLUMNS)
-    return kept.unionByName(docs.select(*COLUMNS).filter(F.col("doc_id").isNull()))
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

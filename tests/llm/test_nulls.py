@@ -65,3 +65,16 @@ def test_stages(spark, docs, k):
         assert sorted(ids, key=str) == [1, 2, 4, None, None]
     empty = stage(spark, docs.limit(0), "unused")
     assert empty.collect() == [] and empty.columns == out.columns
+
+
+def test_rows_that_share_an_id_keep_their_unique_texts(spark):
+    word = lambda name, n=30: " ".join(f"{name}{i}" for i in range(n))
+    near = word("a") + " more"  # 26 of 27 shingles
+    rows = []
+    for i in range(8):  # each copy is of the document of its own ten
+        rows += [(10 * i + 1, f"{i} {word('a' + str(i))}"), (10 * i + 5, f"{i} {word('a' + str(i))}"), (10 * i + 5, word(f"own{i}x"))]
+    rows += [(101, word("a")), (105, near), (105, word("b")), (105, word("b")), (103, None), (103, word("c")), (109, word("c") + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "unused").collect()), key=str)
+    gone = {(10 * i + 5, f"{i} {word('a' + str(i))}") for i in range(8)} | {(105, near), (109, word("c") + " more")}
+    assert got == sorted(set(rows) - gone, key=str)
