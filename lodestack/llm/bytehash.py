@@ -2,6 +2,10 @@
 
 All hashing works on UTF-8 bytes. ASCII white space is ``[\\x20\\x09-\\x0D]`` and lower-casing touches A-Z only, so no
 character is ever decoded. Hashes are 64-bit, deterministic, and equal for equal (lower-cased) byte strings.
+
+A span is hashed as 8-byte lanes: every lane goes with its place and the salt through a non-linear 64-bit finaliser before
+the lanes are added up, so no pair of texts collides under more than one salt by construction (as spans of equal sums do in a
+polynomial modulo a power of two), and two salts make a 128-bit name.
 """
 
 from __future__ import annotations
@@ -13,9 +17,6 @@ import pyarrow as pa
 
 SLICE = 1 << 20
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -29,27 +30,13 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def _byte_values(salt: int, fold: bool) -> np.ndarray:
+def _fold_table() -> np.ndarray:
     b = np.arange(256)
-    if fold:
-        b = np.where((b >= 65) & (b <= 90), b + 32, b)
-    return mix(mix(b.astype(_U) + _U(1)), salt)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=_U)
-
+    return np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.uint8)
 
-_tables: dict = {}
 
-
-def _table(key: str, make):
-    if key not in _tables:
-        _tables[key] = make()
-    return _tables[key]
+FOLD = _fold_table()
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], _U)  # masks of a lane's first k bytes
 
 
 def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,36 +66,47 @@ def groups(starts: np.ndarray, ends: np.ndarray, limit: int = SLICE) -> Iterator
         i = j
 
 
+def _lanes(part: np.ndarray, lo: np.ndarray, size: np.ndarray, first: int, salt: int) -> np.ndarray:
+    """Sum of each span's finalised lanes; ``part`` has 8 bytes more than the spans, places count from ``first``."""
+    n = -(-size // 8)
+    end = np.cumsum(n)
+    total = int(end[-1])
+    place = np.arange(total) - np.repeat(end - n, n)
+    eight = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
+    lane = eight[np.repeat(lo, n) + 8 * place] & _TAIL[np.minimum(np.repeat(size, n) - 8 * place, 8)]
+    key = mix((np.arange(first, first + int(n.max(initial=0)), dtype=_U) + _U(1)) * _U(0x9E3779B97F4A7C15), salt)
+    sums = np.zeros(len(lo), _U)
+    some = n > 0
+    if total:
+        sums[some] = np.add.reduceat(mix(lane ^ key[place]), (end - n)[some])
+    return sums
+
+
 def span_hashes(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int = 0, fold: bool = True) -> np.ndarray:
     """Hash of every byte span [lo, hi) of ``buf``; spans ascend and don't overlap."""
     out = np.zeros(len(lo), _U)
     if not len(lo):
         return out
-    values = _table(f"v{salt}{fold}", lambda: _byte_values(salt, fold))
+
+    def copy(a: int, b: int) -> np.ndarray:
+        part = np.zeros(b - a + 8, np.uint8)
+        part[: b - a] = FOLD[buf[a:b]] if fold else buf[a:b]
+        return part
+
     i = 0
-    while i < len(lo):
-        base = int(lo[i])
-        j = max(i + 1, int(np.searchsorted(hi, base + SLICE, side="right")))
-        end = int(hi[j - 1])
-        n = end - base
-        if n <= SLICE:
-            up, down = _table("up", lambda: _powers(_BASE, SLICE + 1)), _table("down", lambda: _powers(_INV, SLICE + 1))
-            with np.errstate(over="ignore"):
-                sums = np.zeros(n + 1, _U)
-                np.cumsum(values[buf[base:end]] * up[:n], out=sums[1:])
-                out[i:j] = (sums[hi[i:j] - base] - sums[lo[i:j] - base]) * down[lo[i:j] - base]
-        else:  # one span longer than a slice: the same sum, piece by piece
-            up, total, shift = _table("up", lambda: _powers(_BASE, SLICE + 1)), 0, 1
-            step = pow(_BASE, SLICE, 1 << 64)
-            for at in range(base, end, SLICE):
-                piece = buf[at : min(end, at + SLICE)]
-                with np.errstate(over="ignore"):
-                    part = int((values[piece] * up[: len(piece)]).sum(dtype=_U))
-                total, shift = (total + part * shift) % (1 << 64), shift * step % (1 << 64)
-            out[i] = total
-        i = j
     with np.errstate(over="ignore"):
-        return mix(out + (hi - lo).astype(_U) * _U(0xD6E8FEB86659FD93))
+        while i < len(lo):
+            base = int(lo[i])
+            j = max(i + 1, int(np.searchsorted(hi, base + SLICE, side="right")))
+            end = int(hi[j - 1])
+            if end - base <= SLICE:
+                out[i:j] = _lanes(copy(base, end), lo[i:j] - base, hi[i:j] - lo[i:j], 0, salt)
+            else:  # one span longer than a slice: the same sum, piece by piece
+                for at in range(base, end, SLICE):
+                    top = min(end, at + SLICE)
+                    out[i] += _lanes(copy(at, top), np.zeros(1, np.int64), np.array([top - at]), (at - base) // 8, salt)[0]
+            i = j
+        return mix(out + (hi - lo).astype(_U) * _U(0xD6E8FEB86659FD93), salt)
 
 
 def words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

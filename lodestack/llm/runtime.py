@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,20 +13,59 @@ from ..session import spread
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where the session names none."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Where the session names none, a session on one machine gets a temporary folder; on a cluster that would be a folder that
+    other machines cannot read, so there it is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lodestack-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings that hold while this is open."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+_open: list[list[Workspace]] = []
+
+
+@contextmanager
+def scratch():
+    """Deletes the workspaces made while this is open: for callers who write the operator's result before they close it."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for work in _open.pop():
+            work.drop()
+
+
 class Workspace:
-    """Tables of one operator run under the shared folder. Written tables cut lineage and survive lost executors."""
+    """Tables of one operator run under the shared folder. Written tables cut lineage and survive lost executors.
+
+    Operators drop a table once nothing reads it any more; the few that their result reads stay until its caller is done
+    with it (see ``scratch``).
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/lodestack-{name}-{uuid.uuid4().hex}"
+        if _open:
+            _open[-1].append(self)
 
     def table(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` as Parquet and read it back with the same schema."""

@@ -119,19 +119,76 @@ def test_line_dedup_empty_and_repeated_rows(spark):
     assert {r.n_dropped for r in line_dedup.dedup(spark, df).collect()} == {0}  # two documents hold it
 
 
-def test_runs_tell_new_keys_from_seen_ones(spark):
+NAMES = ["h1", "h2", "batch", "keeper", "n_docs", "old", "in_0", "more", "e", "i", "_id", "id", "_drops", "drops", "n_lines", "N_Lines", "n_dropped", "kept_sha256", "__x"]
+
+
+@pytest.mark.parametrize("names", [NAMES[0::2], NAMES[1::2]])
+def test_line_dedup_takes_extra_columns_of_any_name(spark, names):
+    data = [(d, "a line that all of them hold, as it is") for d in (1, 2, 3)]
+    df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", *[f"doc_id * 7 AS {n}" for n in names])
+    got = line_dedup.dedup(spark, df)
+    rest = [n for n in names if n.lower() not in line_dedup.MADE]
+    assert got.columns == ["doc_id", *rest, "text", "n_lines", "n_dropped", "kept_sha256"]
+    rows = got.collect()
+    assert {(r.doc_id, r.n_lines, r.n_dropped) for r in rows} == {(1, 1, 1), (2, 1, 1), (3, 1, 0)}
+    assert all(r[n] == r.doc_id * 7 for r in rows for n in rest)
+
+
+def thue_morse(n):
+    s = "a"
+    for _ in range(n):
+        s += "".join("b" if c == "a" else "a" for c in s)
+    return s, "".join("b" if c == "a" else "a" for c in s)
+
+
+def test_lines_and_words_with_equal_polynomials_differ(spark):
+    from lodestack.llm import ngram_join
+
+    s, c = thue_morse(10)
+    for k in (1, 2048):  # lines of 1 KB, and of 2 MB
+        df = spark.createDataFrame([(1, s * k), (2, s * k), (3, s * k), (9, c * k)], "doc_id long, text string")
+        assert sorted((r.doc_id, r.n_dropped) for r in line_dedup.dedup(spark, df).collect()) == [(1, 1), (2, 1), (3, 0), (9, 0)]
+        assert sorted((r.doc_id, r.component_id) for r in ngram_join.join(spark, df, 3, 90, 100).collect()) == [(1, 1), (2, 1), (3, 1), (9, 9)]
+
+
+def test_span_hashes_do_not_depend_on_their_place():
+    import numpy as np
+
+    from lodestack.llm import bytehash as bh
+
+    rng = random.Random(5)
+    parts = [bytes(rng.randrange(32, 127) for _ in range(n)) for n in (0, 1, 7, 8, 9, 63, 64, 65, 1000, bh.SLICE - 1, bh.SLICE, bh.SLICE + 1, 2 * bh.SLICE + 5)]
+    one = lambda p, salt=0, fold=True: int(bh.span_hashes(np.frombuffer(p, np.uint8), np.array([0]), np.array([len(p)]), salt, fold)[0])
+    ends = np.cumsum([len(p) for p in parts])
+    got = bh.span_hashes(np.frombuffer(b"".join(parts), np.uint8), ends - [len(p) for p in parts], ends).tolist()
+    assert got == [one(p) for p in parts] == [one(p.lower()) for p in parts] and len(set(got)) == len(parts)
+    assert one(parts[4], 1) != one(parts[4]) and one(b"A", 0, False) != one(b"a", 0, False) and one(b"a") != one(b"a\0")
+
+
+def test_runs_take_new_keys_from_the_anti_join_alone(spark):
     from lodestack.llm.runtime import Workspace
 
+    batches = [(9, (1, 2)), (8, (2, 3)), (7, (4,)), (6, (1, 5)), (5, (1, 3))]
     runs = line_dedup.LevelledRuns(Workspace(spark, "t"), fanout=2)
-    keys = lambda d, *ks: spark.createDataFrame([(d, k, k) for k in ks], "doc_id long, h1 long, h2 long")
-    for d, ks in enumerate([(1, 2), (2, 3), (4,), (1, 5)]):
-        batch = keys(d, *ks)
-        fresh = {r.h1 for r in runs.unseen(batch).collect()}
-        assert fresh == set(ks) - {k for e, old in enumerate([(1, 2), (2, 3), (4,), (1, 5)]) if e < d for k in old}
-        runs.add(batch)
-    assert [len(level) for level in runs.levels] == [0, 0, 1]
-    assert runs.rows().filter("fresh").count() == 5
-    assert {r.h1: (r.n_docs, r.last_doc) for r in runs.totals().collect()} == {1: (2, 3), 2: (2, 1), 3: (1, 1), 4: (1, 2), 5: (1, 3)}
+    held = set()
+    for d, ks in batches:
+        new = runs.add(spark.createDataFrame([(d, k, -k) for k in ks], "doc_id long, h1 long, h2 long"))
+        assert {r.h1 for r in new.collect()} == set(ks) - held
+        held |= set(ks)
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    rows = [r for run in runs.runs() for r in run.collect()]
+    assert len(rows) == len(held)  # each key in one run
+    assert {r.h1: r.keeper for r in runs.repeated(1).collect()} == {1: 9, 2: 9, 3: 8, 4: 7, 5: 6}
+    assert {r.h1: r.keeper for r in runs.repeated(2).collect()} == {1: 9, 2: 9, 3: 8}
+    assert {r.h1: r.keeper for r in runs.repeated(3).collect()} == {1: 9}
+
+    batch = spark.createDataFrame([(1, 1, 4, 1)], "h1 long, h2 long, keeper long, n_docs long")
+    with runs.buckets.in_order():
+        plan = runs.split(batch)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Bucketed: true") == 2 and len(re.findall(r"SortMergeJoin", plan)) == 2
+    assert len(re.findall(r"\bSort \[", plan)) == len(re.findall(r"Exchange hashpartitioning", plan)) == 1  # the batch's own
+    runs.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lodestack_lines")]
 
 
 @pytest.fixture(scope="module")
