@@ -1,13 +1,17 @@
 """Byte-level BPE over length-bucketed padded matrices.
 
 Texts are cut by the public pre-split pattern; each distinct piece is encoded once per process. Pieces of similar length
-form a padded (pieces x bytes) id matrix. Every round looks up all adjacent pairs in an open-addressing hash table,
-merges each row's leftmost pair of minimum rank, and compacts the row; rows without a mergeable pair leave the matrix.
-This is the library's own order of merges (lowest rank first, leftmost on ties). A byte sequence that is a whole
-vocabulary entry is one token even where no merge chain builds it.
+form a padded (pieces x bytes) id matrix, whatever their length. In every round each row merges its leftmost pair of minimum
+rank; ranks of new pairs come from an open-addressing hash table. Further pairs of that rank in the row are the next rounds'
+leftmost minimum as long as no merge makes a pair of lower rank, so they are merged in the same round, and the first merge
+that makes one ends the row's round. This is the library's own order of merges (lowest rank first, leftmost on ties).
+Merged places are unlinked rather than shifted, the minimum of a row is read from the minima of its blocks of ``BLOCK``
+places, and rows and places are compacted once enough are dead, so a round costs little more than its merges and a piece
+about as much as its length. A byte sequence that is a whole vocabulary entry is one token even where no merge chain builds it.
 
-Null text counts as empty: no tokens, digests of nothing. A text is never cut other than by the pattern. Equal rows give
-equal results. The cache of pieces is bounded; pieces too long to pad are merged alone, in memory linear in their length.
+Null text counts as empty: no tokens, digests of nothing. A text is never cut other than by the pattern, and very long pieces
+take the same path in memory linear in their length. Equal rows give equal results, ties are decided as the library does, and
+an empty table gives an empty one. The cache of pieces is bounded.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame
 
 CACHE_PIECES = 400_000
 CELLS = 1 << 18
+BLOCK = 64
 
 
 class BytePairs:
@@ -83,74 +88,100 @@ class BytePairs:
             todo, at = todo[on], (at[on] + 1) & self.mask
         return found.reshape(keys.shape)
 
+    def _layout(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Flat (ids, ranks, next, previous, block minima) of a padded matrix without gaps, and its width in blocks and block."""
+        n, wide = ids.shape
+        block = wide if wide <= BLOCK else BLOCK
+        blocks = -(-wide // block)
+        full = np.zeros((n, blocks * block), np.int64)
+        full[:, :wide] = ids
+        width = blocks * block
+        ranks = np.full((n, width), NONE, np.int64)
+        at = np.arange(wide - 1)[None, :] + 1 < lengths[:, None]
+        ranks[:, : wide - 1][at] = self.pair_ranks(ids[:, :-1][at], ids[:, 1:][at])
+        place = np.broadcast_to(np.arange(width, dtype=np.int64), (n, width))
+        after = np.where(place + 1 < lengths[:, None], place + 1, -1)
+        return full.ravel(), ranks.ravel(), after.ravel(), (place - 1).ravel(), ranks.reshape(n * blocks, block).min(axis=1), blocks, block
+
     def _merge(self, rows: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """Ids of each row of a padded matrix, all rows merging one pair a round."""
+        """Ids of each row of a padded matrix."""
         done: list = [None] * len(rows)
         index = np.arange(len(rows))
-        ranks = self.pair_ranks(rows[:, :-1], rows[:, 1:])
-        ranks[np.arange(1, rows.shape[1])[None, :] >= lengths[:, None]] = NONE
-        while len(index):
-            at = ranks.argmin(axis=1)
-            each = np.arange(len(index))
-            best = ranks[each, at]
-            over = best == NONE
-            if over.any():
-                for k in np.flatnonzero(over):
-                    done[index[k]] = rows[k, : lengths[k]]
-                on = ~over
-                rows, lengths, ranks, index, at, best = rows[on], lengths[on], ranks[on], index[on], at[on], best[on]
-                if not len(index):
-                    break
-                width = int(lengths.max())
-                rows, ranks = rows[:, :width], ranks[:, : max(width - 1, 1)]
-                each = np.arange(len(index))
-            rows[each, at] = best
-            places = np.arange(rows.shape[1] - 1)[None, :]
-            moved = places > at[:, None]
-            rows[:, :-1] = np.where(moved, rows[:, 1:], rows[:, :-1])
-            lengths = lengths - 1
-            ranks[:, :-1] = np.where(places[:, : ranks.shape[1] - 1] > at[:, None], ranks[:, 1:], ranks[:, :-1])
-            ranks[:, -1] = NONE
-            for side in (at - 1, at):  # only the pairs next to the merged one change
-                live = (side >= 0) & (side + 1 < lengths)
-                k = each[live]
-                ranks[k, side[live]] = self.pair_ranks(rows[k, side[live]], rows[k, side[live] + 1])
-                k = each[(side >= 0) & ~live & (side < ranks.shape[1])]
-                ranks[k, side[k]] = NONE
-        return done
-
-    def _merge_long(self, piece: bytes) -> np.ndarray:
-        """One very long piece: the same rounds with a heap over linked places."""
-        import heapq
-
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        first = self.pair_ranks(np.array(ids[:-1]), np.array(ids[1:])).tolist()
-        heap = [(r, i) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        now = first + [NONE]
-        lookup = self._lookup
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] < 0 or now[i] != r:
+        lengths = lengths.copy()
+        ids, ranks, after, before, least, blocks, block = self._layout(rows, lengths)
+        while True:
+            n, width = len(index), blocks * block
+            by_row = least.reshape(n, blocks)
+            best = by_row.min(axis=1)
+            going = best != NONE
+            some = int(going.sum())
+            if some < n * 3 // 4 or not some or (blocks > 1 and 2 * int(lengths.max()) < width):
+                live = (after >= 0).reshape(n, width)  # the last place of a row has no next one
+                live[np.arange(n), self._last(before, after, lengths, n, width)] = True
+                tokens = ids.reshape(n, width)
+                for k in np.flatnonzero(~going):
+                    done[index[k]] = tokens[k][live[k]]
+                if not some:
+                    return done
+                index, lengths, live, tokens = index[going], lengths[going], live[going], tokens[going]
+                packed = np.zeros((some, int(lengths.max())), np.int64)
+                packed[np.arange(packed.shape[1])[None, :] < lengths[:, None]] = tokens[live]
+                ids, ranks, after, before, least, blocks, block = self._layout(packed, lengths)
                 continue
-            j = nxt[i]
-            ids[i], ids[j] = r, -1
-            nxt[i] = nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-            now[j] = NONE
-            for k in (prv[i], i):
-                if k >= 0:
-                    now[k] = lookup(ids[k], ids[nxt[k]]) if nxt[k] < n else NONE
-                    if now[k] != NONE:
-                        heapq.heappush(heap, (now[k], k))
-        return np.array([x for x in ids if x >= 0], np.int64)
-
-    def _lookup(self, a: int, b: int) -> int:
-        joined = self.ranks.get(self.tokens[a] + self.tokens[b])
-        return NONE if joined is None else joined
+            # all places of minimum rank, by row and place
+            at = np.flatnonzero((by_row == best[:, None]).ravel() & np.repeat(going, blocks)) if some < n or blocks > 1 else np.arange(n)
+            cells = ranks.reshape(n * blocks, block)[at]
+            k, offset = np.nonzero(cells == best[at // blocks][:, None])
+            p = at[k] * block + offset
+            row = p // width
+            base = row * width
+            q = base + after[p]
+            # of pairs that overlap, every second one from the left
+            follows = np.zeros(len(p), bool)
+            follows[1:] = (q[:-1] == p[1:]) & (row[1:] == row[:-1])
+            if follows.any():
+                place = np.arange(len(p))
+                start = np.maximum.accumulate(np.where(follows, 0, place))
+                take = (place - start) % 2 == 0
+                p, q, row, base = p[take], q[take], row[take], base[take]
+            token = best[row]
+            right, left = after[q], before[p]
+            has_right, has_left = right >= 0, left >= 0
+            right, left = base + right, base + left
+            joins = np.zeros(len(p), bool)  # the place to the left has just been merged in this round
+            joins[1:] = (q[:-1] == left[1:]) & (row[1:] == row[:-1])
+            left = np.where(joins, np.roll(p, 1), left)
+            right_rank, left_rank = np.full(len(p), NONE, np.int64), np.full(len(p), NONE, np.int64)
+            right_rank[has_right] = self.pair_ranks(token[has_right], ids[right[has_right]])
+            left_rank[has_left] = self.pair_ranks(np.where(joins, token, ids[left])[has_left], token[has_left])
+            lower = (right_rank < token) | (left_rank < token)
+            if lower.any():  # the row goes on with the pair of lower rank
+                place = np.arange(len(p))
+                first = np.full(n, len(p))
+                np.minimum.at(first, row[lower], place[lower])
+                on = place <= first[row]
+                p, q, row, token, right, left, has_right, has_left, right_rank, left_rank = (x[on] for x in (p, q, row, token, right, left, has_right, has_left, right_rank, left_rank))
+                base = base[on]
+            ids[p] = token
+            after[p] = np.where(has_right, right - base, -1)
+            before[right[has_right]] = (p - base)[has_right]
+            after[q], ranks[q] = -1, NONE
+            ranks[p] = right_rank
+            ranks[left[has_left]] = left_rank[has_left]
+            lengths -= np.bincount(row, minlength=n)
+            if blocks == 1:
+                least = ranks.reshape(n, block).min(axis=1)
+            else:
+                touched = np.concatenate([p, q, left[has_left]]) // block
+                least[touched] = ranks.reshape(-1, block)[touched].min(axis=1)
+
+    @staticmethod
+    def _last(before: np.ndarray, after: np.ndarray, lengths: np.ndarray, n: int, width: int) -> np.ndarray:
+        """The last live place of each row."""
+        open_ = (after >= 0).reshape(n, width)
+        some = open_.any(axis=1)
+        at = width - 1 - open_[:, ::-1].argmax(axis=1)
+        return np.where(some, after.reshape(n, width)[np.arange(n), at], 0)
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces as little-endian unsigned 32-bit integers."""
@@ -162,8 +193,6 @@ class BytePairs:
             r = whole.get(b)
             if r is not None:
                 out[k] = r.to_bytes(4, "little")
-            elif len(b) > 4096:
-                out[k] = self._merge_long(b).astype("<u4").tobytes()
             else:
                 hard.append(k)
         hard.sort(key=lambda k: len(raw[k]))

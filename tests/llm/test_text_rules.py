@@ -217,6 +217,36 @@ def test_bpe_equals_the_library(spark, encoding):
     assert bpe.encode(df.limit(0), path, pattern).collect() == []
 
 
+def test_bpe_long_pieces(encoding):
+    path, pattern, enc = encoding
+    rng = random.Random(6)
+    letters = lambda n, al: "".join(rng.choice(al) for _ in range(n))
+    pieces = [letters(n, al) for al in ("ab", "theofand", "é漢字🙂a", "abcdefghijklmnopqrstuvwxyz") for n in (1, 2, 63, 64, 65, 129, 1000, 4096, 4097, 20_000)]
+    pieces += ["a" * n for n in (63, 64, 65, 4097, 300_000)]
+    got = bpe.load(path, pattern).encode_batch(pieces)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [enc.encode_ordinary(x) for x in pieces]
+
+
+def test_bpe_order_of_merges_under_any_ranks(tmp_path):
+    """Ranks in no order of length, so that merges keep making pairs of lower rank."""
+    import base64
+
+    import tiktoken
+
+    for seed in range(40):
+        rng = random.Random(seed)
+        tokens = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 6))).encode() for _ in range(60)}
+        ranks = list(range(256, 256 + len(tokens)))
+        rng.shuffle(ranks)
+        vocab = {bytes([b]): b for b in range(256)} | dict(zip(sorted(tokens), ranks))
+        path = tmp_path / f"{seed}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in vocab.items()))
+        enc = tiktoken.Encoding(f"own{seed}", pat_str=r"[^ ]+| ", mergeable_ranks=vocab, special_tokens={})
+        texts = ["".join(rng.choice("abc") for _ in range(n)) for n in (*range(1, 40), 70, 150, 700)] + ["a" * 99, "abc" * 50, "aab" * 33]
+        got = bpe.BytePairs(str(path), r"[^ ]+| ").encode_batch(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [enc.encode_ordinary(t) for t in texts]
+
+
 def test_pipeline_stages_against_brute_force(spark, sf, encoding):
     import corpus_pipeline
 
