@@ -24,7 +24,7 @@ def rows():
     return [(i, t) for i, t in enumerate(out)] + [(3, "x" * 63)] * 2
 
 
-@pytest.mark.parametrize("bits", [media_chunks.BLOOM_BITS, media_chunks.BLOOM_SLICE])
+@pytest.mark.parametrize("bits", [None, media_chunks.BLOOM_SLICE])
 def test_read_back_equals_brute_force(spark, bits):
     data = rows()
     df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 AS recipe", "'k' AS kind").repartition(5)
@@ -53,7 +53,7 @@ def test_damage_is_found():
     import zstandard
 
     with pytest.raises(ValueError):
-        media_chunks._measure(1, *_object(b"hello" * 50, b"hellO" * 50), {}, zstandard.ZstdDecompressor())
+        media_chunks._measure(*_object(b"hello" * 50, b"hellO" * 50), {}, zstandard.ZstdDecompressor())
 
 
 def _object(text, other):
@@ -61,9 +61,24 @@ def _object(text, other):
 
     import zstandard
 
-    recipe = struct.pack("<QQ", len(text), 1) + hashlib.blake2b(media_chunks.payload(text), digest_size=16).digest() + struct.pack("<I", len(media_chunks.payload(text)))
-    z = zstandard.ZstdCompressor().compress(media_chunks.payload(other))
-    return recipe, b"\0", struct.pack("<I", len(z)) + z
+    data = media_chunks.payload(text)
+    z = zstandard.ZstdCompressor(level=media_chunks.LEVEL, write_content_size=True).compress(media_chunks.payload(other))
+    recipe = struct.pack("<QQ", len(text), 1) + struct.pack(media_chunks.PART, hashlib.blake2b(data, digest_size=16).digest(), len(data), len(z))
+    return recipe, b"\0", z
+
+
+def test_media_figures_are_of_the_stored_bytes(spark):
+    text = "hello" * 50
+    recipe, _, frame = _object(text.encode(), text.encode())
+    media = recipe + frame
+    for data in ([(1, text)], [(1, text), (2, text), (None, text)] * 40):  # alone, and as a shared chunk
+        got = media_chunks.store_and_measure(spark, spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+        assert {(r.media_bytes, r.media_sha256) for r in got} == {(len(media), hashlib.sha256(media).hexdigest())}
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(d) for d, _ in data)
+
+
+def test_filter_grows_with_the_digests():
+    assert [media_chunks.filter_bits(n) for n in (0, 1, 4096, 4097, 10**6, 10**9)] == [1 << 16, 1 << 16, 1 << 16, 1 << 17, 1 << 24, 1 << 28]
 
 
 def test_empty_and_whole_table(spark, sf):
