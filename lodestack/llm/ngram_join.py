@@ -3,27 +3,32 @@
 Two documents link when ``den * |A & B| >= num * |A | B|`` for their sets A, B of distinct k-word shingles.
 
 1. Documents with equal sets form a class (128-bit fingerprint); its smallest id stands for it.
-2. Classes are dealt into search groups: min-hash bands whose miss probability for a pair at the threshold is below
-   ``MISS`` (1e-12) propose neighbours, and connected proposals form a group. Bands only decide who is searched together.
-   The documents of a group too large for one task are banded again, with more rows a band (same bound): a group that grew by
-   chance through shared passages falls apart, a group of real near-copies stays.
-3. Inside a group an inverted index answers T-occurrence searches: the T-driven number of longest lists is set aside, the
-   short sorted lists are merged with a run-merging sort, and survivors are binary-probed in the long lists. Found documents
-   leave the index, so a dense group costs about one pass over its postings, not a pass per pair.
-4. A group larger than a task's bound is cut into blocks. Each block finds its own links and a cover of stars (a centre and
-   documents linked to it). As Jaccard distance is a metric, a link between blocks needs a document within two link
-   distances of the other's centre, so every document searches the centres only, and the few documents in that ring are
-   compared with the star's members. No step lists the pairs of a group.
+2. Proposals decide who is searched together, never who links. By default they are min-hash bands whose miss probability for a
+   pair at the threshold is below ``MISS`` (1e-12): documents that share no band key with another have no link, the others are
+   banded again with ``STRICT_ROWS`` rows a band (same bound), and connected proposals form a search group. With
+   ``exact`` the keys are each set's prefix instead: the smallest ``|A| - ceil(t |A|) + 1`` hashes, of which every linked pair
+   shares one; it misses nothing and proposes more.
+3. Inside a group an inverted index answers T-occurrence searches by DivideSkip: the T-driven number of longest lists is set
+   aside, the short ones are merged on a heap that skips what cannot reach the rest of T, and the survivors are looked up in
+   the long ones by binary search. Found documents leave the index, so a dense group costs about one pass over its postings.
+4. Groups are cut into blocks of bounded rows and shingles (most are one block). Each block finds its own links and a cover of
+   stars (a centre and documents linked to it). As Jaccard distance is a metric, a link between blocks needs a document within
+   two link distances of the other's centre: every document searches the centres, and the few in a centre's ring search the
+   centre's block. No step lists the pairs of a group, and no task holds more than a block, a chunk of centres or of queries.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing; a text with fewer than k words has one
-shingle, the whole sequence; rows that share an id count as one document; a row without an id has no component of its own (null, or that of its copies); ties don't occur (ids are compared); an empty
-table gives an empty result; extra columns are ignored.
+shingle, the whole sequence; very long texts are one set each; rows that share an id have the component
+of their own set each (sets that one id names as the smallest of both count as one); a row without an id has no component of
+its own (null, or that of its copies); ties don't occur (ids are compared); an empty table gives an
+empty result; extra columns are ignored. Shingles are compared by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from math import ceil, log
 
 import numpy as np
@@ -36,8 +41,9 @@ from .components import components
 from .runtime import Workspace
 
 MISS = 1e-12
-BLOCK_SHINGLES = 2_000_000
 STRICT_ROWS = 8
+BLOCK_SHINGLES = 250_000  # of a block, a chunk of star centres, or of queries
+BLOCK_ROWS = 500
 
 
 def banding(num: int, den: int, rows: int | None = None) -> tuple[int, int]:
@@ -66,11 +72,20 @@ def _bands(row: np.ndarray, h: np.ndarray, n_rows: int, bands: int, rows: int) -
     return out
 
 
-def _profile(id_col: str, text_col: str, k: int, bands: int, rows: int):
+def _prefixes(row: np.ndarray, h: np.ndarray, n_rows: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, keys): of each row's sorted hashes the smallest |A| - ceil(t |A|) + 1."""
+    n = np.bincount(row, minlength=n_rows)
+    take = np.where(n > 0, n - -(-num * n // den) + 1, 0)
+    place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    return np.concatenate([[0], np.cumsum(take)]), h[place < take[row]]
+
+
+def _profile(k: int, num: int, den: int, exact: bool):
+    bands, rows = banding(num, den)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(id_col))
-            buf, starts, ends = bh.column(batch, text_col)
+            buf, starts, ends = bh.column(batch, "text")
             for i, j in bh.groups(starts, ends):
                 row, h = bh.shingles(buf, starts[i:j], ends[i:j], k)
                 n = np.bincount(row, minlength=j - i)
@@ -80,93 +95,114 @@ def _profile(id_col: str, text_col: str, k: int, bands: int, rows: int):
                     for s in (0, 1):
                         if len(have):
                             fp[s, have] = np.add.reduceat(bh.mix(h, 0x1234567 + s), first)
-                keys = _bands(row, h, j - i, bands, rows)
-                offsets = pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))],
-                    names=["doc_id", "n_shingles", "f1", "f2", "bands"],
-                )
+                if exact:
+                    offsets, keys = _prefixes(row, h, j - i, num, den)
+                else:
+                    offsets, keys = np.arange(0, (j - i + 1) * bands, bands), _bands(row, h, j - i, bands, rows).ravel()
+                keys = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), keys], names=["doc_id", "n_shingles", "f1", "f2", "keys"])
 
     return run
 
 
-def _sets(text_col: str, k: int):
+def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, starts, ends = bh.column(batch, text_col)
-            rest = [batch.schema.get_field_index(c) for c in ("grp", "doc_id")]
+            buf, starts, ends = bh.column(batch, "text")
             for i, j in bh.groups(starts, ends):
                 row, h = bh.shingles(buf, starts[i:j], ends[i:j], k)
                 cut = np.searchsorted(row, np.arange(j - i + 1))
-                cells = [h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in rest] + [pa.array(cells, pa.binary())], names=["grp", "doc_id", "sh"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["doc_id", "sh"])
 
     return run
 
 
 class Postings:
-    """Inverted lists over a bounded group of shingle sets, searched with DivideSkip."""
+    """Inverted lists over a bounded number of shingle sets, searched with DivideSkip."""
 
-    def __init__(self, sets: list[np.ndarray], live: np.ndarray | None = None):
-        self.sizes = np.array([len(s) for s in sets], np.int64)
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = [len(s) for s in sets]
         self.sets = sets
-        self.live = np.ones(len(sets), bool) if live is None else live
+        self.live = np.ones(len(sets), bool)
         self._build()
 
     def _build(self) -> None:
         on = np.flatnonzero(self.live)
         tokens = np.concatenate([self.sets[i] for i in on]) if len(on) else np.zeros(0, np.uint64)
-        owner = np.repeat(on, self.sizes[on])
+        owner = np.repeat(on, [self.size[i] for i in on])
         order = np.argsort(tokens, kind="stable")  # owners ascend inside a list
-        tokens, self.owner = tokens[order], owner[order].astype(np.int32)
+        tokens, self.owner = tokens[order], owner[order].tolist()
         self.vocabulary, self.first = np.unique(tokens, return_index=True)
-        self.length = np.diff(np.append(self.first, len(tokens)))
+        self.end = np.append(self.first[1:], len(tokens))
         self.built = len(on)
 
-    def remove(self, rows: np.ndarray) -> None:
+    def remove(self, rows: list[int]) -> None:
         self.live[rows] = False
         if self.live.sum() * 2 < self.built:
             self._build()
 
-    def search(self, query: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, overlaps) of the live sets whose Jaccard similarity with ``query`` is num / den or more."""
-        none = np.zeros(0, np.int64)
-        if not len(query) or not len(self.vocabulary):
-            return none, none
+    def _merge_skip(self, lists: list[tuple[int, int]], need: int) -> list[tuple[int, int]]:
+        """(row, count) of the rows that ``need`` or more of the lists (first, end) hold, by a heap over the lists' heads.
+
+        Where the smallest row is in too few lists, the next smallest heads up to need - 1 lists are taken off too, and all of
+        them jump to the row that is smallest then: no row before it can be in enough lists.
+        """
+        owner, out = self.owner, []
+        heap = [(owner[a], a, b) for a, b in lists]
+        heapify(heap)
+        while len(heap) >= need:
+            row, taken = heap[0][0], []
+            while heap and heap[0][0] == row:
+                taken.append(heappop(heap))
+            if len(taken) >= need:
+                out.append((row, len(taken)))
+                for _, a, b in taken:
+                    if a + 1 < b:
+                        heappush(heap, (owner[a + 1], a + 1, b))
+                continue
+            while heap and len(taken) < need - 1:
+                taken.append(heappop(heap))
+            if not heap:
+                break
+            top = heap[0][0]
+            for _, a, b in taken:
+                a = bisect_left(owner, top, a, b)
+                if a < b:
+                    heappush(heap, (owner[a], a, b))
+        return out
+
+    def search(self, query: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+        """(row, overlap) of the live sets whose Jaccard similarity with ``query`` is num / den or more."""
+        m = len(query)
+        if not m or not len(self.vocabulary):
+            return []
         at = np.searchsorted(self.vocabulary, query)
         at[at == len(self.vocabulary)] = 0
         at = at[self.vocabulary[at] == query]
-        least = -(-num * len(query) // den)  # T: what any set of a size that can link must share
+        least = max(1, -(-num * m // den))  # T: what any set of a size that can link must share
         if len(at) < least:
-            return none, none
-        length = self.length[at]
-        order = np.argsort(length, kind="stable")
-        at, length = at[order], length[order]
-        longest = int(length[-1])
+            return []
+        length = self.end[at] - self.first[at]
+        at = at[np.argsort(length, kind="stable")]
+        lists = list(zip(self.first[at].tolist(), self.end[at].tolist()))
+        longest = lists[-1][1] - lists[-1][0]
         n_long = min(least - 1, int(least / (0.01 * log(longest + 1) + 1))) if longest > 8 else 0
-        short, long_ = at[: len(at) - n_long], at[len(at) - n_long :]
-        counts = self.length[short]
-        total = int(counts.sum())
-        steps = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[short], counts)
-        merged = np.sort(self.owner[steps], kind="stable")
-        heads = np.flatnonzero(np.diff(merged, prepend=-1))
-        rows = merged[heads].astype(np.int64)
-        seen = np.diff(np.append(heads, total))
-        m = len(query)
-        fit = (seen >= least - n_long) & self.live[rows] & (den * self.sizes[rows] >= num * m) & (den * m >= num * self.sizes[rows])
-        rows, seen = rows[fit], seen[fit]
-        for done, a in enumerate(long_):
-            if not len(rows):
-                break
-            items = self.owner[self.first[a] : self.first[a] + self.length[a]]
-            p = np.searchsorted(items, rows)
-            p[p == len(items)] = 0
-            seen = seen + (items[p] == rows)
-            if done % 16 == 15:  # what is left can no longer reach T
-                on = seen + (n_long - 1 - done) >= least
-                rows, seen = rows[on], seen[on]
-        hit = den * seen >= num * (m + self.sizes[rows] - seen)
-        return rows[hit], seen[hit]
+        short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+        owner, out = self.owner, []
+        for row, seen in self._merge_skip(short, least - n_long):
+            size = self.size[row]
+            if not self.live[row] or den * size < num * m or den * m < num * size:
+                continue
+            left = n_long
+            for a, b in long_:
+                if seen + left < least:
+                    break
+                left -= 1
+                x = bisect_left(owner, row, a, b)
+                seen += x < b and owner[x] == row
+            if den * seen >= num * (m + size - seen):
+                out.append((row, seen))
+        return out
 
 
 def link_group(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,19 +214,19 @@ def link_group(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
         if label[seed] >= 0:
             continue
         label[seed] = seed
-        index.remove(np.array([seed]))
+        index.remove([seed])
         queue = deque([seed])
         while queue:
             x = queue.popleft()
             if centre[x] < 0:
                 centre[x] = x
-            found, _ = index.search(sets[x], num, den)
-            if len(found):
+            found = [row for row, _ in index.search(sets[x], num, den)]
+            if found:
                 label[found] = seed
                 if centre[x] == x:
                     centre[found] = x
                 index.remove(found)
-                queue.extend(found.tolist())
+                queue.extend(found)
     return label, centre
 
 
@@ -252,10 +288,17 @@ def _proposals(keys: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id").alias("src"), F.col("m").alias("dst")).distinct()
 
 
-def _blocked(sets: DataFrame, block_shingles: int) -> DataFrame:
+def _dealt(rows: DataFrame, keys: list[str], name: str, shingles: int, most_rows: int) -> DataFrame:
+    """The number ``name`` of parts that the rows of each key are cut into, so that a part has bounded rows and shingles.
+
+    The keys are masked, so that a join can split the rows of a large key over tasks."""
+    n = F.greatest(F.ceil(F.sum(F.length("sh")) / F.lit(8 * shingles)), F.ceil(F.count(F.lit(1)) / F.lit(most_rows))).cast("int")
+    return rows.groupBy(*keys).agg(n.alias(name)).select(*[F.col(k).bitwiseXOR(F.lit(0).cast(t)).alias(f"_{k}") for k, t in zip(keys, ("bigint", "int"))], name)
+
+
+def _blocked(sets: DataFrame, shingles: int, rows: int) -> DataFrame:
     """Sets (grp, doc_id, sh) with the number of blocks of their group and their own block."""
-    sizes = sets.groupBy("grp").agg(F.ceil(F.sum(F.length("sh")) / F.lit(8 * block_shingles)).cast("int").alias("blocks"))
-    sizes = sizes.select(F.col("grp").bitwiseXOR(F.lit(0).cast("long")).alias("_grp"), "blocks")  # masked, so a large group can be split
+    sizes = _dealt(sets, ["grp"], "blocks", shingles, rows)
     out = sets.select("grp", "doc_id", "sh").join(sizes, F.col("grp") == F.col("_grp")).drop("_grp")
     return out.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
 
@@ -273,97 +316,107 @@ def _link_blocks(num: int, den: int):
 
 
 def _ring(num: int, den: int):
-    """Each document of a block against a chunk of the group's star centres: links, and documents in a centre's ring."""
+    """Each document of a block against a chunk of the group's star centres: links, and documents in the ring of a centre.
+
+    A document is named with the centre's block and label once, however many of the block's centres it is near to."""
     wide = max(0, 2 * num - den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in _keyed(batches, ["grp", "block", "chunk"]):
-            is_centre = table.column("is_centre").to_numpy().astype(bool)
+        for (grp, _, _), table in _keyed(batches, ["grp", "block", "chunk"]):
+            home = table.column("home").to_numpy()  # a centre's own block; -1 for the documents that search
             ids, labels, sets = table.column("doc_id").to_numpy(), table.column("label").to_numpy(), _cells(table, "sh")
-            heads, docs = np.flatnonzero(is_centre), np.flatnonzero(~is_centre)
+            heads, docs = np.flatnonzero(home >= 0), np.flatnonzero(home < 0)
             index = Postings([sets[i] for i in heads])
             links, near = set(), set()
             for x in docs:
-                rows, shared = index.search(sets[x], wide, den)
-                for r, o in zip(heads[rows].tolist(), shared.tolist()):
+                for row, shared in index.search(sets[x], wide, den):
+                    r = heads[row]
                     if labels[r] != labels[x]:
-                        if den * o >= num * (len(sets[x]) + len(sets[r]) - o):
+                        if den * shared >= num * (len(sets[x]) + len(sets[r]) - shared):
                             links.add((int(labels[x]), int(labels[r])))
                         else:
-                            near.add((int(ids[x]), int(ids[r]), int(labels[x]), int(labels[r])))
-            out = [(True, a, b, a, b) for a, b in links] + [(False, *x) for x in near if (x[2], x[3]) not in links and (x[3], x[2]) not in links]
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["linked", "a", "b", "la", "lb"])
+                            near.add((int(ids[x]), int(home[r]), int(labels[x]), int(labels[r])))
+            out = [(True, grp, None, None, a, b) for a, b in links] + [(False, grp, *x) for x in near if (x[2], x[3]) not in links and (x[3], x[2]) not in links]
+            cols = list(zip(*out)) if out else [[]] * 6
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["linked", "grp", "doc_id", "block", "la", "lb"])
 
     return run
 
 
-def _verify(num: int, den: int):
+def _search_blocks(num: int, den: int):
+    """Links of a part of the queries to a block with the block's documents, as pairs of labels."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sa", "sb"))
-            keep = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                o = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * o >= num * (len(x) + len(y) - o))
-            at = [batch.schema.get_field_index(c) for c in ("la", "lb")]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in at], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+        for _, table in _keyed(batches, ["grp", "block", "part"]):
+            asks, labels, sets = table.column("asks").to_numpy(zero_copy_only=False).astype(bool), table.column("label").to_numpy(), _cells(table, "sh")
+            held = np.flatnonzero(~asks)
+            index = Postings([sets[i] for i in held])
+            links = {(int(labels[x]), int(labels[held[row]])) for x in np.flatnonzero(asks) for row, _ in index.search(sets[x], num, den)}
+            cols = list(zip(*[e for e in links if e[0] != e[1]])) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["src", "dst"])
 
     return run
 
 
-def _between_blocks(spark, work: Workspace, sets: DataFrame, found: DataFrame, num: int, den: int, limit: int) -> DataFrame:
-    """Edges between labels of different blocks of the groups that didn't fit one task."""
+def _between_blocks(spark, work: Workspace, sets: DataFrame, found: DataFrame, num: int, den: int, shingles: int, rows: int) -> DataFrame:
+    """Edges between labels of different blocks of the groups that have several."""
     big = work.table(sets.filter(F.col("blocks") > 1).join(found.drop("block"), ["grp", "doc_id"]), "big")
     heads = big.filter(F.col("doc_id") == F.col("centre"))
-    chunks = heads.groupBy("grp").agg(F.ceil(F.sum(F.length("sh")) / F.lit(8 * limit)).cast("int").alias("chunks"))
-    cols = ["grp", "block", "chunk", "is_centre", "doc_id", "label", "sh"]
-    left = big.join(chunks, "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("is_centre", F.lit(False))
-    right = heads.drop("block").join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("is_centre", F.lit(True))
-    both = left.select(*cols).unionByName(right.select(*cols)).repartition("grp", "block", "chunk").sortWithinPartitions("grp", "block", "chunk")
-    seen = work.table(both.mapInArrow(_ring(num, den), "linked boolean, a long, b long, la long, lb long"), "rings")
-    links = seen.filter("linked").select(F.col("la").alias("src"), F.col("lb").alias("dst")).distinct()
+    chunks = _dealt(heads, ["grp"], "chunks", shingles, rows)
+    cols = ["grp", "block", "chunk", "home", "doc_id", "label", "sh"]
+    asking = big.join(chunks, F.col("grp") == F.col("_grp")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("home", F.lit(-1))
+    asked = heads.join(chunks, F.col("grp") == F.col("_grp")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    asked = asked.withColumn("home", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = asking.select(*cols).unionByName(asked.select(*cols)).repartition("grp", "block", "chunk").sortWithinPartitions("grp", "block", "chunk")
+    seen = work.table(both.mapInArrow(_ring(num, den), "linked boolean, grp long, doc_id long, block int, la long, lb long"), "rings")
+    links = work.table(seen.filter("linked").select(F.col("la").alias("src"), F.col("lb").alias("dst")).distinct(), "near-links")
     joined = components(spark, links, work, "ring-links")
     near = seen.filter("not linked").drop("linked").distinct()
     for side in ("la", "lb"):
         near = near.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c")), side, "left").withColumn(f"{side}_c", F.coalesce(f"{side}_c", side))
-    near = near.filter(F.col("la_c") != F.col("lb_c"))
-    members = big.select(F.col("centre").alias("b"), F.col("sh").alias("sb"), F.col("label").alias("lb"))
-    pairs = near.select("a", "b", "la").join(members, "b").join(big.select(F.col("doc_id").alias("a"), F.col("sh").alias("sa")), "a")
-    return links.unionByName(pairs.select("sa", "sb", "la", "lb").mapInArrow(_verify(num, den), "src long, dst long"))
-
-
-def join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    near = near.filter(F.col("la_c") != F.col("lb_c")).select("grp", "doc_id", "block").distinct()
+    cols = ["grp", "block", "part", "asks", "label", "sh"]
+    asking = work.table(near.join(big.select("grp", "doc_id", "label", "sh"), ["grp", "doc_id"]), "asking")
+    parts = _dealt(asking, ["grp", "block"], "parts", shingles, rows)
+    same = (F.col("grp") == F.col("_grp")) & (F.col("block") == F.col("_block"))
+    asking = asking.join(parts, same).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("asks", F.lit(True))
+    asked = big.join(parts, same).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(False))
+    both = asking.select(*cols).unionByName(asked.select(*cols)).repartition("grp", "block", "part").sortWithinPartitions("grp", "block", "part")
+    return links.unionByName(both.mapInArrow(_search_blocks(num, den), "src long, dst long"))
+
+
+def join(
+    spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", exact: bool = False, block_shingles: int = BLOCK_SHINGLES, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``. ``exact`` proposes by prefixes in place of bands."""
     work = Workspace(spark, "ngrams")
-    bands, rows = banding(num, den)
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    profile = work.table(narrow.mapInArrow(_profile("doc_id", "text", k, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "profile")
+    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    profile = work.table(narrow.mapInArrow(_profile(k, num, den, exact), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"), "profile")
     classes = work.table(profile.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
 
-    keys = profile.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).select("doc_id", F.explode("bands").alias("key"))
-    groups = work.table(components(spark, _proposals(keys), work, "proposals").withColumnsRenamed({"node": "doc_id", "component": "grp"}), "groups")
-    placed = groups.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = narrow.join(placed.hint("merge"), "doc_id").select("grp", "doc_id", "text").mapInArrow(_sets("text", k), "grp long, doc_id long, sh binary")
-    sets = work.table(_blocked(work.table(sets, "raw-sets"), block_shingles), "sets")
-    work.drop("raw-sets")
-    large = sets.filter("blocks > 1").select("doc_id", "sh")
-    if large.limit(1).count():
-        strict = work.table(large.mapInArrow(_strict_keys(*banding(num, den, STRICT_ROWS)), "doc_id long, key long"), "strict-keys")
-        again = components(spark, _proposals(strict), work, "strict").withColumnsRenamed({"node": "doc_id", "component": "grp"})
-        again = _blocked(work.table(large.join(again, "doc_id").select("grp", "doc_id", "sh"), "strict-sets"), block_shingles)
-        sets = work.table(sets.filter("blocks = 1").unionByName(again), "all-sets")
-        work.drop("strict-keys")
-        work.drop("strict-sets")
+    keys = profile.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).select("doc_id", F.explode("keys").alias("key"))
+    proposed = work.table(_proposals(keys), "proposed")
+    placed = proposed.select(F.col("src").alias("doc_id")).union(proposed.select("dst")).distinct()  # all that share a key
+    sets = narrow.join(placed.hint("merge"), "doc_id").mapInArrow(_sets(k), "doc_id long, sh binary")
+    sets = work.table(sets.groupBy("doc_id", F.md5("sh").alias("f")).agg(F.first("sh").alias("sh")).drop("f"), "raw-sets")  # repeated rows once
+    if not exact:
+        strict = work.table(sets.mapInArrow(_strict_keys(*banding(num, den, STRICT_ROWS)), "doc_id long, key long"), "strict-keys")
+        proposed = _proposals(strict)
+    groups = components(spark, proposed, work, "groups").withColumnsRenamed({"node": "doc_id", "component": "grp"})
+    sets = work.table(_blocked(sets.join(groups, "doc_id").select("grp", "doc_id", "sh"), block_shingles, block_rows), "sets")
+    for name in ("raw-sets", "strict-keys", "proposed"):
+        work.drop(name)
     dealt = sets.repartition("grp", "block").sortWithinPartitions("grp", "block").select("grp", "block", "doc_id", "sh")
     found = work.table(dealt.mapInArrow(_link_blocks(num, den), "grp long, block int, doc_id long, label long, centre long"), "found")
 
     edges = found.filter(F.col("label") != F.col("doc_id")).select(F.col("doc_id").alias("src"), F.col("label").alias("dst"))
     if sets.filter("blocks > 1").limit(1).count():
-        edges = edges.unionByName(_between_blocks(spark, work, sets, found, num, den, block_shingles))
+        edges = edges.unionByName(_between_blocks(spark, work, sets, found, num, den, block_shingles, block_rows))
     labels = components(spark, edges, work, "links").withColumnsRenamed({"node": "rep"})
     named = classes.join(labels, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("c"))
+    named = work.table(named, "named")
+    for name in ("sets", "found", "big", "rings", "near-links", "asking", "classes"):
+        work.drop(name)
     out = profile.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
