@@ -12,9 +12,10 @@ Two documents link when ``den * |A & B| >= num * |A | B|`` for their sets A, B o
    aside, the short ones are merged on a heap that skips what cannot reach the rest of T, and the survivors are looked up in
    the long ones by binary search. Found documents leave the index, so a dense group costs about one pass over its postings.
 4. Groups are cut into blocks of bounded rows and shingles (most are one block). Each block finds its own links and a cover of
-   stars (a centre and documents linked to it). As Jaccard distance is a metric, a link between blocks needs a document within
-   two link distances of the other's centre: every document searches the centres, and the few in a centre's ring search the
-   centre's block. No step lists the pairs of a group, and no task holds more than a block, a chunk of centres or of queries.
+   stars (a centre and documents linked to it). Linked centres join blocks first, which leaves most groups in one piece. As
+   Jaccard distance is a metric, a link between the pieces left needs a document within two link distances of the other's
+   centre: the documents search the centres of other pieces, and the few in a centre's ring search the centre's block. No step
+   lists the pairs of a group, and no task holds more than a block, a chunk of centres or of queries.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing; a text with fewer than k words has one
 shingle, the whole sequence; very long texts are one set each; rows that share an id have the component
@@ -42,8 +43,9 @@ from .runtime import Workspace
 
 MISS = 1e-12
 STRICT_ROWS = 8
-BLOCK_SHINGLES = 250_000  # of a block, a chunk of star centres, or of queries
-BLOCK_ROWS = 500
+BLOCK_SHINGLES = 1_000_000  # of a block, a chunk of star centres, or of queries
+BLOCK_ROWS = 2_000
+HEAP_POSTINGS = 1_000  # up to here short lists are merged row by row, beyond as arrays; the counts are the same
 
 
 def banding(num: int, den: int, rows: int | None = None) -> tuple[int, int]:
@@ -121,7 +123,7 @@ class Postings:
     """Inverted lists over a bounded number of shingle sets, searched with DivideSkip."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.size = [len(s) for s in sets]
+        self.sizes = np.array([len(s) for s in sets], np.int64)
         self.sets = sets
         self.live = np.ones(len(sets), bool)
         self._build()
@@ -129,9 +131,10 @@ class Postings:
     def _build(self) -> None:
         on = np.flatnonzero(self.live)
         tokens = np.concatenate([self.sets[i] for i in on]) if len(on) else np.zeros(0, np.uint64)
-        owner = np.repeat(on, [self.size[i] for i in on])
+        owner = np.repeat(on, self.sizes[on])
         order = np.argsort(tokens, kind="stable")  # owners ascend inside a list
-        tokens, self.owner = tokens[order], owner[order].tolist()
+        tokens, self.rows = tokens[order], owner[order]
+        self.owner = self.rows.tolist()
         self.vocabulary, self.first = np.unique(tokens, return_index=True)
         self.end = np.append(self.first[1:], len(tokens))
         self.built = len(on)
@@ -171,8 +174,21 @@ class Postings:
                     heappush(heap, (owner[a], a, b))
         return out
 
-    def search(self, query: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-        """(row, overlap) of the live sets whose Jaccard similarity with ``query`` is num / den or more."""
+    def _merge_runs(self, lists: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, counts) of many postings: a heap over the lists gives the two shortest, which are merged as arrays."""
+        heap = [(b - a, i, self.rows[a:b], np.ones(b - a, np.int64)) for i, (a, b) in enumerate(lists)]
+        heapify(heap)
+        while len(heap) > 1:
+            (_, i, r, c), (_, _, r2, c2) = heappop(heap), heappop(heap)
+            r, c = np.concatenate([r, r2]), np.concatenate([c, c2])
+            order = np.argsort(r, kind="stable")  # of two sorted runs: one merge
+            r, c = r[order], c[order]
+            head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+            heappush(heap, (len(head), i, r[head], np.add.reduceat(c, head)))
+        return heap[0][2:]
+
+    def search(self, query: np.ndarray, num: int, den: int, wanted: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """(row, overlap) of the live (and ``wanted``) sets whose Jaccard similarity with ``query`` is num / den or more."""
         m = len(query)
         if not m or not len(self.vocabulary):
             return []
@@ -188,19 +204,40 @@ class Postings:
         longest = lists[-1][1] - lists[-1][0]
         n_long = min(least - 1, int(least / (0.01 * log(longest + 1) + 1))) if longest > 8 else 0
         short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+        if sum(b - a for a, b in short) <= HEAP_POSTINGS:
+            got = self._merge_skip(short, least - n_long)
+            rows, seen = (np.array(x, np.int64) for x in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        else:
+            rows, seen = self._merge_runs(short)
+        size = self.sizes[rows]
+        fit = (seen >= least - n_long) & self.live[rows] & (den * size >= num * m) & (den * m >= num * size)
+        if wanted is not None:
+            fit &= wanted[rows]
+        rows, seen = rows[fit], seen[fit]
+        if len(rows) <= 8:
+            return self._probe_each(rows.tolist(), seen.tolist(), long_, m, least, num, den)
+        for left, (a, b) in zip(range(n_long - 1, -1, -1), long_):
+            items = self.rows[a:b]
+            p = np.searchsorted(items, rows)
+            p[p == len(items)] = 0
+            seen = seen + (items[p] == rows)
+            if left % 16 == 0:  # what is left can no longer reach T
+                on = seen + left >= least
+                rows, seen = rows[on], seen[on]
+        hit = den * seen >= num * (m + self.sizes[rows] - seen)
+        return list(zip(rows[hit].tolist(), seen[hit].tolist()))
+
+    def _probe_each(self, rows: list[int], counts: list[int], long_: list[tuple[int, int]], m: int, least: int, num: int, den: int) -> list[tuple[int, int]]:
         owner, out = self.owner, []
-        for row, seen in self._merge_skip(short, least - n_long):
-            size = self.size[row]
-            if not self.live[row] or den * size < num * m or den * m < num * size:
-                continue
-            left = n_long
+        for row, seen in zip(rows, counts):
+            left = len(long_)
             for a, b in long_:
                 if seen + left < least:
                     break
                 left -= 1
                 x = bisect_left(owner, row, a, b)
                 seen += x < b and owner[x] == row
-            if den * seen >= num * (m + size - seen):
+            if den * seen >= num * (m + int(self.sizes[row]) - seen):
                 out.append((row, seen))
         return out
 
@@ -315,75 +352,102 @@ def _link_blocks(num: int, den: int):
     return run
 
 
-def _ring(num: int, den: int):
-    """Each document of a block against a chunk of the group's star centres: links, and documents in the ring of a centre.
+def _ring(num: int, den: int, near_too: bool):
+    """The documents that ask (home -1) against the star centres of other pieces: links, and documents in a centre's ring.
 
-    A document is named with the centre's block and label once, however many of the block's centres it is near to."""
-    wide = max(0, 2 * num - den)
+    A document is named with the centre's block and piece once, however many of the block's centres it is near to."""
+    least = max(0, 2 * num - den) if near_too else num
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (grp, _, _), table in _keyed(batches, ["grp", "block", "chunk"]):
-            home = table.column("home").to_numpy()  # a centre's own block; -1 for the documents that search
-            ids, labels, sets = table.column("doc_id").to_numpy(), table.column("label").to_numpy(), _cells(table, "sh")
+        for (grp, _, _), table in _keyed(batches, ["grp", "part", "chunk"]):
+            home = table.column("home").to_numpy()
+            ids, pieces, sets = table.column("doc_id").to_numpy(), table.column("piece").to_numpy(), _cells(table, "sh")
             heads, docs = np.flatnonzero(home >= 0), np.flatnonzero(home < 0)
-            index = Postings([sets[i] for i in heads])
+            index, of = Postings([sets[i] for i in heads]), pieces[heads]
             links, near = set(), set()
             for x in docs:
-                for row, shared in index.search(sets[x], wide, den):
+                for row, shared in index.search(sets[x], least, den, of != pieces[x]):
                     r = heads[row]
-                    if labels[r] != labels[x]:
-                        if den * shared >= num * (len(sets[x]) + len(sets[r]) - shared):
-                            links.add((int(labels[x]), int(labels[r])))
-                        else:
-                            near.add((int(ids[x]), int(home[r]), int(labels[x]), int(labels[r])))
+                    if den * shared >= num * (len(sets[x]) + len(sets[r]) - shared):
+                        links.add((int(pieces[x]), int(pieces[r])))
+                    else:
+                        near.add((int(ids[x]), int(home[r]), int(pieces[x]), int(pieces[r])))
             out = [(True, grp, None, None, a, b) for a, b in links] + [(False, grp, *x) for x in near if (x[2], x[3]) not in links and (x[3], x[2]) not in links]
             cols = list(zip(*out)) if out else [[]] * 6
             kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["linked", "grp", "doc_id", "block", "la", "lb"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["linked", "grp", "doc_id", "block", "pa", "pb"])
 
     return run
 
 
+_RING = "linked boolean, grp long, doc_id long, block int, pa long, pb long"
+
+
 def _search_blocks(num: int, den: int):
-    """Links of a part of the queries to a block with the block's documents, as pairs of labels."""
+    """Links of a part of the queries to documents of other pieces in a block, as pairs of pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in _keyed(batches, ["grp", "block", "part"]):
-            asks, labels, sets = table.column("asks").to_numpy(zero_copy_only=False).astype(bool), table.column("label").to_numpy(), _cells(table, "sh")
+            asks, pieces, sets = table.column("asks").to_numpy(zero_copy_only=False).astype(bool), table.column("piece").to_numpy(), _cells(table, "sh")
             held = np.flatnonzero(~asks)
-            index = Postings([sets[i] for i in held])
-            links = {(int(labels[x]), int(labels[held[row]])) for x in np.flatnonzero(asks) for row, _ in index.search(sets[x], num, den)}
-            cols = list(zip(*[e for e in links if e[0] != e[1]])) or [[]] * 2
+            index, of = Postings([sets[i] for i in held]), pieces[held]
+            links = {(int(pieces[x]), int(of[row])) for x in np.flatnonzero(asks) for row, _ in index.search(sets[x], num, den, of != pieces[x])}
+            cols = list(zip(*links)) or [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["src", "dst"])
 
     return run
 
 
+def _on_tasks(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their keys and sorted by them. The number of tasks is given: their work is in the search, not in bytes."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
+def _pieces(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """``rows`` with ``piece`` moved to the component that its node has in ``joined`` (node, component)."""
+    moved = rows.join(joined.withColumnsRenamed({"node": "piece", "component": "_to"}), "piece", "left")
+    return moved.withColumn("piece", F.coalesce("_to", "piece")).drop("_to")
+
+
 def _between_blocks(spark, work: Workspace, sets: DataFrame, found: DataFrame, num: int, den: int, shingles: int, rows: int) -> DataFrame:
-    """Edges between labels of different blocks of the groups that have several."""
-    big = work.table(sets.filter(F.col("blocks") > 1).join(found.drop("block"), ["grp", "doc_id"]), "big")
-    heads = big.filter(F.col("doc_id") == F.col("centre"))
-    chunks = _dealt(heads, ["grp"], "chunks", shingles, rows)
-    cols = ["grp", "block", "chunk", "home", "doc_id", "label", "sh"]
-    asking = big.join(chunks, F.col("grp") == F.col("_grp")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("home", F.lit(-1))
-    asked = heads.join(chunks, F.col("grp") == F.col("_grp")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    asked = asked.withColumn("home", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = asking.select(*cols).unionByName(asked.select(*cols)).repartition("grp", "block", "chunk").sortWithinPartitions("grp", "block", "chunk")
-    seen = work.table(both.mapInArrow(_ring(num, den), "linked boolean, grp long, doc_id long, block int, la long, lb long"), "rings")
-    links = work.table(seen.filter("linked").select(F.col("la").alias("src"), F.col("lb").alias("dst")).distinct(), "near-links")
-    joined = components(spark, links, work, "ring-links")
-    near = seen.filter("not linked").drop("linked").distinct()
-    for side in ("la", "lb"):
-        near = near.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c")), side, "left").withColumn(f"{side}_c", F.coalesce(f"{side}_c", side))
-    near = near.filter(F.col("la_c") != F.col("lb_c")).select("grp", "doc_id", "block").distinct()
-    cols = ["grp", "block", "part", "asks", "label", "sh"]
-    asking = work.table(near.join(big.select("grp", "doc_id", "label", "sh"), ["grp", "doc_id"]), "asking")
+    """Edges between the labels (and pieces, which are labels) of the groups that have several blocks."""
+    big = sets.filter(F.col("blocks") > 1).join(found.drop("block"), ["grp", "doc_id"]).withColumnsRenamed({"label": "piece"})
+    big = work.table(big.withColumn("is_head", F.col("doc_id") == F.col("centre")).drop("centre"), "big")
+
+    def to_chunks(heads: DataFrame, asking: DataFrame, parts: str) -> DataFrame:
+        """Asking documents for every chunk of their group's centres, and the centres for each of its ``parts``."""
+        chunks = _dealt(heads, ["grp"], "chunks", shingles, rows)
+        cols = ["grp", "part", "chunk", "home", "doc_id", "piece", "sh"]
+        asking = asking.join(chunks, F.col("grp") == F.col("_grp")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col(parts)).cast("int"))
+        asking = asking.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("home", F.lit(-1))
+        asked = heads.join(chunks, F.col("grp") == F.col("_grp")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+        asked = asked.withColumn("home", F.col("block")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+        return _on_tasks(asking.select(*cols).unionByName(asked.select(*cols)), "grp", "part", "chunk")
+
+    heads = big.filter("is_head")
+    first = to_chunks(heads, heads, "chunks").mapInArrow(_ring(num, den, False), _RING)
+    first = work.table(first.select(F.col("pa").alias("src"), F.col("pb").alias("dst")).distinct(), "centre-links")
+    big = work.table(_pieces(big, components(spark, first, work, "centres")), "pieces")
+
+    apart = big.groupBy("grp").agg(F.min("piece").alias("a"), F.max("piece").alias("b")).filter("a < b").select(F.col("grp").bitwiseXOR(F.lit(0).cast("bigint")).alias("_g"))
+    left = work.table(big.join(apart, F.col("grp") == F.col("_g")).drop("_g"), "apart")
+    seen = work.table(to_chunks(left.filter("is_head"), left, "blocks").mapInArrow(_ring(num, den, True), _RING), "rings")
+    second = work.table(seen.filter("linked").select(F.col("pa").alias("src"), F.col("pb").alias("dst")).distinct(), "ring-links")
+    joined = components(spark, second, work, "rings-joined")
+    left = _pieces(left, joined)
+    near = seen.filter("not linked").select("grp", "doc_id", "block", F.col("pa").alias("piece"), "pb").distinct()
+    near = _pieces(near, joined).withColumnsRenamed({"piece": "pa", "pb": "piece"})
+    near = _pieces(near, joined).filter(F.col("pa") != F.col("piece")).select("grp", "doc_id", "block").distinct()
+
+    cols = ["grp", "block", "part", "asks", "piece", "sh"]
+    asking = work.table(near.join(left.select("grp", "doc_id", "piece", "sh"), ["grp", "doc_id"]), "asking")
     parts = _dealt(asking, ["grp", "block"], "parts", shingles, rows)
     same = (F.col("grp") == F.col("_grp")) & (F.col("block") == F.col("_block"))
     asking = asking.join(parts, same).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("asks", F.lit(True))
-    asked = big.join(parts, same).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(False))
-    both = asking.select(*cols).unionByName(asked.select(*cols)).repartition("grp", "block", "part").sortWithinPartitions("grp", "block", "part")
-    return links.unionByName(both.mapInArrow(_search_blocks(num, den), "src long, dst long"))
+    asked = left.join(parts, same).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(False))
+    third = _on_tasks(asking.select(*cols).unionByName(asked.select(*cols)), "grp", "block", "part").mapInArrow(_search_blocks(num, den), "src long, dst long")
+    return first.unionByName(second).unionByName(third)
 
 
 def join(
@@ -407,7 +471,7 @@ def join(
     sets = work.table(_blocked(sets.join(groups, "doc_id").select("grp", "doc_id", "sh"), block_shingles, block_rows), "sets")
     for name in ("raw-sets", "strict-keys", "proposed"):
         work.drop(name)
-    dealt = sets.repartition("grp", "block").sortWithinPartitions("grp", "block").select("grp", "block", "doc_id", "sh")
+    dealt = _on_tasks(sets, "grp", "block").select("grp", "block", "doc_id", "sh")
     found = work.table(dealt.mapInArrow(_link_blocks(num, den), "grp long, block int, doc_id long, label long, centre long"), "found")
 
     edges = found.filter(F.col("label") != F.col("doc_id")).select(F.col("doc_id").alias("src"), F.col("label").alias("dst"))
@@ -416,7 +480,7 @@ def join(
     labels = components(spark, edges, work, "links").withColumnsRenamed({"node": "rep"})
     named = classes.join(labels, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("c"))
     named = work.table(named, "named")
-    for name in ("sets", "found", "big", "rings", "near-links", "asking", "classes"):
+    for name in ("classes", "sets", "found", "big", "centre-links", "pieces", "apart", "rings", "ring-links", "asking"):
         work.drop(name)
     out = profile.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
