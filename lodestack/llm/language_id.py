@@ -2,14 +2,17 @@
 
 A text's features are its byte n-grams of one to three bytes (A-Z lower-cased; digits and ASCII punctuation read as
 blanks), hashed to buckets. The text's vector is the mean of the buckets' embeddings, and a softmax layer scores the
-languages. Training is stochastic gradient descent over short segments of a bounded, documented sample of labelled rows
-(``max_docs`` rows, dealt evenly to the languages; what a rare language leaves goes to the others, and each has one at least,
-so the total is ``max_docs`` or the number of languages. Of a language, those with the lowest id hashes are taken, and
-``SEGMENTS`` evenly spaced segments of each). A temperature is fitted on a validation part, and the rejection threshold accepts ``accept`` of its correct predictions.
-
-Prediction reads whole texts. Embedding and softmax weights fold into one bucket-by-language table, which is all that is
-broadcast (its size is bounded by the buckets and the number of languages). Null text, or text without a letter, is
-``und`` with score 0 and rejected. Ties go to the first language by name. Without any labelled row every text is ``und``.
+languages. Training is stochastic gradient descent over whole texts, each in up to ``PARTS`` consecutive parts, of a bounded,
+documented sample of labelled rows: ``max_docs`` rows, dealt evenly to the languages (what a rare language leaves goes to the
+others, and each has one at least, so the total is ``max_docs`` or the number of languages); of a language, those with the
+lowest id hashes, as far as their texts come to ``max_bytes`` in all (dealt evenly too; a text counts whole or not at all). A
+temperature is fitted on a validation part, and the rejection threshold accepts ``accept`` of its correct predictions.
+
+Prediction reads whole texts, however long, in bounded pieces. Embedding and softmax weights fold into one bucket-by-language
+table, which is all that is broadcast (its size is bounded by the buckets and the number of languages). Null text, or text
+without a letter, is ``und`` with score 0 and rejected. Ties go to the first language by name; repeated rows get equal
+results, and an empty table an empty one. Without any labelled row every text is ``und``. Extra columns pass through, but for
+those this operator makes.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash as bh
+from .runtime import Workspace
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-SEGMENTS, SEGMENT_BYTES = 4, 192
+PARTS, PART_BYTES = 4, 64  # parts of a text to train on, of this many bytes at least
 UNKNOWN = "und"
 SLOT_BITS = 10
 
@@ -77,14 +81,17 @@ def train(samples: list[tuple[str, bytes]], dim: int = 8, epochs: int = 6, rate:
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
-    rows = [(languages.index(lang), features(s)) for lang, s in samples]
-    rows = [r for r in rows if len(r[1])]
+    rows = []
+    for lang, raw in samples:
+        ids, times = np.unique(features(raw), return_counts=True)
+        if len(ids):
+            rows.append((languages.index(lang), ids, times / times.sum()))
     rng.shuffle(rows)
     cut = len(rows) // 10
     held, fit = rows[:cut], rows[cut:] or rows
     emb = rng.normal(0, 0.1, (BUCKETS, dim))
     out, bias = rng.normal(0, 0.1, (dim, len(languages))), np.zeros(len(languages))
-    share = np.bincount([y for y, _ in fit], minlength=len(languages)).astype(float)
+    share = np.bincount([y for y, _, _ in fit], minlength=len(languages)).astype(float)
     weight = np.sqrt(len(fit) / np.maximum(share, 1) / len(languages))
     for epoch in range(epochs):
         order = rng.permutation(len(fit))
@@ -93,19 +100,19 @@ def train(samples: list[tuple[str, bytes]], dim: int = 8, epochs: int = 6, rate:
             batch = [fit[i] for i in order[at : at + 64]]
             y = np.array([b[0] for b in batch])
             n = np.array([len(b[1]) for b in batch])
-            ids = np.concatenate([b[1] for b in batch])
+            ids, part = np.concatenate([b[1] for b in batch]), np.concatenate([b[2] for b in batch])
             own = np.repeat(np.arange(len(batch)), n)
-            mean = np.add.reduceat(emb[ids], np.cumsum(n) - n, axis=0) / n[:, None]
+            mean = np.add.reduceat(emb[ids] * part[:, None], np.cumsum(n) - n, axis=0)
             p = _softmax(mean @ out + bias)
             p[np.arange(len(y)), y] -= 1
             p *= weight[y][:, None] / len(y)
-            back = (p @ out.T) / n[:, None] * len(languages) * 8
+            back = (p @ out.T) * len(languages) * 8
             out -= lr * (mean.T @ p) * 8
             bias -= lr * p.sum(axis=0)
             for d in range(dim):
-                emb[:, d] -= lr * 8 * np.bincount(ids, back[own, d], minlength=BUCKETS)
+                emb[:, d] -= lr * 8 * np.bincount(ids, back[own, d] * part, minlength=BUCKETS)
     table = (emb @ out).astype(np.float32)
-    z = np.array([table[f].mean(axis=0) + bias for _, f in held or fit])
+    z = np.array([w @ table[f] + bias for _, f, w in held or fit])
     y = np.array([b[0] for b in held or fit])
     grid = np.exp(np.linspace(-4, 2, 61))
     loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
@@ -166,18 +173,16 @@ def _predict(model, text_col: str):
     return run
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        langs, out, of = batch.column(0).to_pylist(), [], []
-        buf, starts, ends = bh.column(batch, "text")
-        for k, lang in enumerate(langs):
-            room = max(0, int(ends[k] - starts[k]) - SEGMENT_BYTES)
-            for at in sorted({int(starts[k]) + room * i // (SEGMENTS - 1) for i in range(SEGMENTS)}):
-                raw = buf[at : min(int(ends[k]), at + SEGMENT_BYTES)].tobytes()
-                if _has_letter(raw):
-                    of.append(lang)
-                    out.append(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(out, pa.binary())], names=["lang", "segment"])
+def parts(text: bytes) -> list[bytes]:
+    """The whole of a text in consecutive parts of like size, cut between characters."""
+    n = max(1, min(PARTS, len(text) // PART_BYTES))
+    cuts = [0]
+    for k in range(1, n):
+        at = len(text) * k // n
+        while at < len(text) and text[at] & 0xC0 == 0x80:
+            at += 1
+        cuts.append(at)
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)]) if b > a]
 
 
 def shares(counts: dict[str, int], total: int) -> dict[str, int]:
@@ -213,12 +218,38 @@ def sample(rows: DataFrame, max_docs: int) -> DataFrame:
     return spark.createDataFrame(sorted(chosen), rows.select("doc_id", "lang").schema)
 
 
-def fit(docs: DataFrame, max_docs: int = 4000) -> Model:
-    """Train on a bounded sample of rows with text and lang (``max_docs`` of them, dealt evenly to the languages)."""
+def within(sizes: list[tuple[str, int, int]], max_bytes: int) -> set[tuple[str, int]]:
+    """(lang, key) of the (lang, key, bytes) rows, in order, that fit an even part of ``max_bytes`` for each language.
+
+    A text that doesn't fit is passed over; where none fits, the shortest is taken."""
+    by_lang: dict[str, list[tuple[int, int]]] = {}
+    for lang, key, size in sizes:
+        by_lang.setdefault(lang, []).append((key, size))
+    out = set()
+    for lang, rows in by_lang.items():
+        room, mine = max_bytes // len(by_lang), []
+        for key, size in rows:
+            if size <= room:
+                mine.append(key)
+                room -= size
+        out |= {(lang, key) for key in mine or [min(rows, key=lambda r: r[1])[0]]}
+    return out
+
+
+def fit(docs: DataFrame, max_docs: int = 4000, max_bytes: int = 32 << 20) -> Model:
+    """Train on a bounded sample of rows with text and lang: ``max_docs`` of them, of ``max_bytes`` in all."""
+    work = Workspace(docs.sparkSession, "lang")
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    rows = rows.join(F.broadcast(sample(rows, max_docs)), ["doc_id", "lang"])  # ids only; texts never go through a sort
-    got = rows.select("lang", "text").mapInArrow(_segments, "lang string, segment binary").collect()
-    return train(sorted((r.lang, bytes(r.segment)) for r in got))
+    chosen = rows.join(F.broadcast(sample(rows, max_docs)), ["doc_id", "lang"])  # ids only; texts never go through a sort
+    key = F.xxhash64("doc_id", "text").alias("key")
+    chosen = work.table(chosen.select("lang", "text", key, F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("size")), "sample")
+    sizes = chosen.groupBy("lang", "h", "key").agg(F.max("size").alias("size")).collect()  # numbers only, of the sample
+    fits = sorted(within([(r.lang, r.key, r["size"]) for r in sorted(sizes, key=lambda r: (r.lang, r.h, r.key))], max_bytes))
+    table = docs.sparkSession.createDataFrame(fits, "lang string, key long")
+    got = chosen.join(F.broadcast(table), ["lang", "key"]).dropDuplicates(["lang", "key"]).select("lang", "text").collect()
+    samples = sorted((r.lang, part) for r in got for part in parts(r.text.encode()) if _has_letter(part))
+    work.drop()
+    return train(samples)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -3,11 +3,13 @@
 Grades are ordered: 0 harmful, 1 poor, 2 good. P(grade <= k) = sigmoid(theta_k - w.x) with one weight vector ``w`` shared by
 all thresholds and theta increasing by construction. Features are hashed words and word beginnings (presence, and density in
 the text) and bins of a few shape measures. Weights are fitted by AdaGrad in numpy over a bounded, documented sample of
-labelled rows (``max_docs`` lowest id hashes); every text is then scored whole.
+labelled rows: the ``max_docs`` lowest id hashes, as far as their features come to ``max_bytes``; every text is then scored
+whole, in bounded slices of rows.
 
 Output: expected grade, tail probability P(grade = best) and ``kept`` (tail at or above the cut). Null or empty text has no
-words and only its shape bins; rows without labels are scored like any other; ties don't occur. Without labels all scores
-come from the initial thresholds.
+words and only its shape bins; very long texts are one row of features each; rows without labels are scored like any other;
+repeated rows get equal scores; of an id's several grades the lowest counts; ties don't occur otherwise. Extra columns are
+ignored. An empty table gives an empty one, and without labels all scores come from the initial thresholds.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash as bh
+from .runtime import Workspace
 
 BITS = 18
 PREFIXES = (4, 6, 7)
@@ -96,11 +99,13 @@ class Model:
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int = 3, epochs: int = 24, rate: float = 0.1, l2: float = 2e-3, min_docs: int = 15, seed: int = 3) -> Model:
     """Fit on (grade, features, values) of each labelled text; features of fewer than ``min_docs`` texts keep weight 0."""
-    if rows:
-        held = np.bincount(np.concatenate([f for _, f, _ in rows]), minlength=3 << BITS)
-        rows = [(y, f[on], v[on]) for y, f, v in rows for on in [held[f] >= min_docs]]
-        rows = [r for r in rows if len(r[1])]
-    w, acc = np.zeros(3 << BITS), np.full(3 << BITS, 1e-2)
+    size = 3 << BITS
+    held = np.bincount(np.concatenate([f for _, f, _ in rows]), minlength=size) if rows else np.zeros(size, np.int64)
+    known = np.flatnonzero(held >= min_docs)  # the features that are fitted, numbered in order
+    number = np.full(size, -1, np.int32)
+    number[known] = np.arange(len(known))
+    rows = [(y, number[f[on]], v[on].astype(float)) for y, f, v in rows for on in [held[f] >= min_docs] if on.any()]
+    w, acc = np.zeros(len(known)), np.full(len(known), 1e-2)
     free, free_acc = np.concatenate([[-2.0], np.full(grades - 2, 0.0)]), np.full(grades - 1, 1e-2)
     rng = np.random.default_rng(seed)
 
@@ -120,11 +125,11 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int = 3, epoch
             dh, dl = hi * (1 - hi), lo * (1 - lo)
             p = np.maximum(hi - lo, 1e-9)
             ds = (dh - dl) / p / len(y)
-            g = np.bincount(idx, np.repeat(ds, n) * val, minlength=0)
-            used = np.unique(idx)
-            step = g[used] + l2 * w[used]
-            acc[used] += step**2
-            w[used] -= rate * step / np.sqrt(acc[used])
+            used = np.zeros(len(known), bool)
+            used[idx] = True
+            step = np.where(used, np.bincount(idx, np.repeat(ds, n) * val, minlength=len(known)) + l2 * w, 0.0)
+            acc += step**2
+            w -= rate * step / np.sqrt(acc)
             dt = np.zeros(grades + 1)
             np.add.at(dt, y + 1, -dh / p / len(y))
             np.add.at(dt, y, dl / p / len(y))
@@ -132,7 +137,9 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int = 3, epoch
             df = np.concatenate([[dt.sum()], np.exp(free[1:]) * np.cumsum(dt[::-1])[::-1][1:]])
             free_acc += df**2
             free -= rate * df / np.sqrt(free_acc)
-    return Model(w.astype(np.float32), theta())
+    weights = np.zeros(size, np.float32)
+    weights[known] = w
+    return Model(weights, theta())
 
 
 def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +154,29 @@ def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             )
 
 
-def fit(docs: DataFrame, grades: DataFrame, max_docs: int = 4000, n_grades: int = 3) -> Model:
-    """Train on texts joined with (doc_id, grade); at most ``max_docs`` labelled rows, the lowest id hashes."""
+def within(sizes: list[tuple], max_bytes: int) -> list[tuple]:
+    """Keys of the (key, bytes) rows, in order, that fit ``max_bytes`` together; one that doesn't fit is passed over."""
+    out = []
+    for key, size in sizes:
+        if size <= max_bytes:
+            out.append(key)
+            max_bytes -= size
+    return out
+
+
+def fit(docs: DataFrame, grades: DataFrame, max_docs: int = 4000, n_grades: int = 3, max_bytes: int = 48 << 20) -> Model:
+    """Train on texts joined with (doc_id, grade): at most ``max_docs`` labelled ids, of ``max_bytes`` of features."""
+    work = Workspace(docs.sparkSession, "quality")
     chosen = grades.filter(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     chosen = chosen.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("h", "grade", "text").mapInArrow(_collect_features, "h long, grade int, f binary, v binary")
-    got = sorted(rows.collect(), key=lambda r: (r.h, r.f))
+    rows = work.table(rows.withColumn("key", F.xxhash64("h", "f", "v")), "sample")
+    sizes = rows.groupBy("h", "key").agg(F.max(F.length("f") + F.length("v")).alias("size")).collect()  # numbers only, of the sample
+    fits = within([((r.h, r.key), r["size"]) for r in sorted(sizes)], max_bytes)
+    table = docs.sparkSession.createDataFrame(fits, "h long, key long")
+    got = rows.join(F.broadcast(table), ["h", "key"]).dropDuplicates(["h", "key"]).collect()
+    work.drop()
+    got.sort(key=lambda r: (r.h, r.key))
     return train([(r.grade, np.frombuffer(r.f, np.int32), np.frombuffer(r.v, np.float16).astype(np.float32)) for r in got], n_grades)
 
 

@@ -47,6 +47,41 @@ def test_rare_languages_are_trained_on(spark):
     assert language_id.shares({"a": 9, "b": 1, "c": 9}, 2) == {"b": 1, "a": 1, "c": 1} and language_id.shares({"a": 9, "b": 1}, 6) == {"b": 1, "a": 5}
 
 
+def test_training_reads_whole_texts(spark):
+    for text in ("", "a", "é" * 31, "é" * 32, "aé" * 100, "x" * 257, "日本" * 5000):
+        raw = text.encode()
+        cut = language_id.parts(raw)
+        assert b"".join(cut) == raw and all(p.decode() for p in cut) and len(cut) <= language_id.PARTS
+    tail = "zwölf große Füße läuft über"
+    docs = [(i, ("the house of " * 40) + (tail if i % 2 else "and so on"), "xx" if i % 2 else "en") for i in range(120)]  # told apart by the end alone
+    model = language_id.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    got = language_id.predict(spark.createDataFrame([(1, tail)], "doc_id long, text string"), model).first()
+    assert got.lang_pred == "xx"
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    rows = [("a", 1, 50), ("a", 2, 60), ("a", 3, 50), ("b", 4, 400), ("b", 5, 300)]
+    assert language_id.within(rows, 200) == {("a", 1), ("a", 3), ("b", 5)}
+    assert language_id.within(rows, 2000) == {(g, k) for g, k, _ in rows}
+    docs = spark.createDataFrame([(i, "der Fluss " * (1 if i < 50 else 10_000), "de") for i in range(60)] + [(99, "the river", "en")], "doc_id long, text string, lang string")
+    assert language_id.fit(docs, max_bytes=4000).languages == ["de", "en"]
+
+
+def plain_buckets(text):
+    """Buckets of a text's n-grams, one by one."""
+    folded = [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+    folded = [b if b >= 128 or 97 <= b <= 122 else 32 for b in folded]
+    out = []
+    for n in language_id.ORDERS:
+        for i in range(len(folded) - n + 1):
+            h = n
+            for b in folded[i : i + n]:
+                h = (h ^ b) * 0x9E3779B1 % 2**32
+                h ^= h >> 15
+            out.append(h % language_id.BUCKETS)
+    return out
+
+
 def test_language_scores_are_means_of_features(spark):
     import pyarrow as pa
 
@@ -57,7 +92,10 @@ def test_language_scores_are_means_of_features(spark):
     buf, starts, ends = bh.column(pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"]), "t")
     got = language_id.scores(model, buf, starts, ends)
     for k, t in enumerate(texts):
-        f = language_id.features(t.encode())
+        f = np.array(plain_buckets(t if k != 3 else t[:5000]), np.int64)
+        assert k == 3 or sorted(f) == sorted(language_id.features(t.encode()))
+        if k == 3:
+            f = language_id.features(t.encode())
         want = (model.table[f].mean(axis=0, dtype=float) if len(f) else 0) + model.bias
         assert got[k] == pytest.approx(want, abs=1e-5)
 
@@ -77,6 +115,69 @@ def test_quality_held_out(spark):
     assert mean[0] < mean[1] < mean[2]
 
 
+def test_quality_features_and_scores_equal_a_plain_count(spark):
+    """Presence and density of words and beginnings, shape bins, and scores, without the module's vector code."""
+    import re
+
+    from lodestack.llm import bytehash as bh
+
+    texts = ["", "One two, two THREE!", "été 123 #tags#\n\nlonger-words and\tAND and", "x" * 3000, "word " * 400 + "Other", "§§ ## $$"]
+    one = lambda b, salt: int(bh.span_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]), salt)[0]) >> (64 - ordinal_quality.BITS)
+    size = 1 << ordinal_quality.BITS
+    raw = [t.encode() for t in texts]
+    ends = np.cumsum([len(b) for b in raw])
+    row, feat, val = ordinal_quality.featurize(np.frombuffer(b"".join(raw), np.uint8), ends - [len(b) for b in raw], ends)
+    for k, b in enumerate(raw):
+        words = re.findall(rb"[A-Za-z\x80-\xff]+", b)
+        times = {}
+        for w in words:
+            for salt, cut in enumerate((None, *ordinal_quality.PREFIXES), 1):
+                f = one(w[:cut], salt)
+                times[f] = times.get(f, 0) + 1
+        want = {f: 0.05 for f in times} | {size + f: min(1.0, 60 * n / max(len(words), 20)) for f, n in times.items()}
+        mine = {int(f): float(v) for f, v in zip(feat[row == k], val[row == k])}
+        shape = [f for f in mine if f >= 2 * size]
+        assert {f: v for f, v in mine.items() if f < 2 * size} == pytest.approx(want) and 1 <= len(shape) <= 7 and all(mine[f] == 1 for f in shape)
+
+    rng = np.random.default_rng(4)
+    model = ordinal_quality.Model(rng.normal(0, 1, 3 * size).astype(np.float32), np.array([-0.5, 0.75]))
+    got = {r.doc_id: r for r in ordinal_quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k in range(len(texts)):
+        s = float((model.weights[feat[row == k]].astype(float) * val[row == k]).sum())
+        low = [1 / (1 + np.exp(-min(40, max(-40, t - s)))) for t in model.theta]
+        assert got[k].expected_grade == pytest.approx(2 - sum(low), abs=1e-4) and got[k].tail_probability == pytest.approx(1 - low[1], abs=1e-4)
+        assert got[k].kept == (got[k].tail_probability >= 0.5)
+
+
+def test_ordinal_likelihood_falls_along_the_steps():
+    """Each step follows the gradient of the cumulative-link likelihood, computed here by differences."""
+    rng = np.random.default_rng(1)
+    rows = [(int(y), np.array([0, 1 + int(y), 4]), rng.random(3)) for y in rng.integers(0, 3, 400)]
+
+    def loss(m):
+        s = np.array([(m.weights[f] * v).sum() for _, f, v in rows])
+        low = np.concatenate([np.zeros((len(s), 1)), m.at_most(s), np.ones((len(s), 1))], axis=1)
+        y = np.array([r[0] for r in rows])
+        return -np.log(low[np.arange(len(y)), y + 1] - low[np.arange(len(y)), y]).mean()
+
+    found = [loss(ordinal_quality.train(rows, epochs=e, l2=0)) for e in (0, 1, 4, 16, 60)]
+    assert all(a > b for a, b in zip(found, found[1:]))
+    best = ordinal_quality.train(rows, epochs=400, l2=0)
+    for f in (0, 1, 2, 3, 4):  # near the optimum no weight has a slope left
+        for e in (-0.05, 0.05):
+            w = best.weights.copy()
+            w[f] += e
+            assert loss(ordinal_quality.Model(w, best.theta)) > loss(best) - 2e-3
+
+
+def test_quality_sample_is_bounded_in_bytes(spark):
+    assert ordinal_quality.within([("a", 5), ("b", 9), ("c", 4), ("d", 1)], 10) == ["a", "c", "d"]
+    docs = spark.createDataFrame([(i, "good words here " * (1 + i)) for i in range(30)], "doc_id long, text string")
+    grades = docs.selectExpr("doc_id", "doc_id % 3 AS grade")
+    assert not ordinal_quality.fit(docs, grades, max_bytes=0).weights.any()
+    assert ordinal_quality.fit(docs, grades).weights.any()
+
+
 def test_quality_edges(spark):
     df = spark.createDataFrame(EDGES, "doc_id long, text string").withColumn("kept", F.lit("x"))
     none = ordinal_quality.fit(df, spark.createDataFrame([], "doc_id long, grade int"))
