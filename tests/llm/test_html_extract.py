@@ -78,6 +78,68 @@ def test_long_text_by_others_stays_out():
     assert html_extract.extract(page).split("\n") == ["Title", squash(LONG)]
 
 
+def test_columns_without_telling_names():
+    one = squash(LONG)
+    article = f'<div class="c1"><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p><p>The end.</p></div>'
+    want = ["Title", one, "Short.", one, "The end."]
+    side = '<div class="c2"><h3>Latest</h3><p>First one</p><p>Second one</p></div>'
+    for page in (article + side, side.replace("h3", "p") + article, article + "<div>Copyright 2020</div>", article + side + "<div>Copyright 2020</div>", f"<div>{article}{side}</div>"):
+        assert html_extract.extract(f"<body>{page}</body>").split("\n") == want
+    assert html_extract.extract(f'<body><article><p>{LONG}</p><p class="legal-term">A term.</p><div class="x">Last.</div></article></body>').split("\n")[-1] == "Last."
+    assert html_extract.extract(f'<body><div><p>{LONG}</p><div class="a">Between.</div><p>{LONG}</p><p>Last.</p></div></body>').split("\n") == [one, "Between.", one, "Last."]
+
+
+@pytest.mark.parametrize("tag", ['article class="post comments-open"', 'div class="layout-sidebar-left"', 'div id="social-science"', 'article class="post category-legal"'])
+def test_named_wrappers_keep_the_article(tag):
+    page = f"<body><{tag}><article><h1>Title</h1><p>{LONG}</p></article></{tag.split()[0]}></body>"
+    assert html_extract.extract(page).split("\n") == ["Title", squash(LONG)]
+
+
+def test_a_form_around_the_page_is_no_form_of_the_article():
+    for page in (f'<form id="aspnetForm"><article><h1>Title</h1><p>{LONG}</p></article></form>', f"<form><div><h1>Title</h1><p>{LONG}</p><form><p>Your mail?</p></form></div></form>"):
+        assert html_extract.extract(f"<body>{page}</body>").split("\n") == ["Title", squash(LONG)]
+    assert html_extract.extract(f"<body><form><p>Your mail, please?</p></form><article><h1>Title</h1><p>{LONG}</p></article></body>").split("\n") == ["Title", squash(LONG)]
+
+
+def test_time_is_linear_in_tags_and_depth():
+    import time
+
+    n = 100_000
+    pages = ["<div>x" * n, "<ul><li>x" * n, "<li>x" * n, "<p>x" * n, "<b>x" * n, '<a "' * n, '<a "' * n + ">", "<a x='" * n, "<a x=\"" * n + "'>", "<" * n, "<!" * n, "</" * n + ">", "<div class=ad>x" * n, "<td>x" * n, "</b>" * n, "<div><b>" * n + "</b>" * n, "<![CDATA[x" * n]
+    for page in pages:
+        began = time.process_time()
+        html_extract.extract(page)
+        assert time.process_time() - began < 20, page[:20]
+
+
+def plain_scores(rows, reach):
+    """Scores of (path, text, linked) rows by loops."""
+    import math
+
+    def ratio(i, of):
+        mine = [of(t, k) for p, t, k in rows if p == rows[i][0]]
+        return max(0, sum(mine)) / len(mine)
+
+    out = []
+    for i in range(len(rows)):
+        parts = []
+        for of in (lambda t, k: len(t) - k, lambda t, k: sum(c in ".,;:!?…。，、！？¿¡" for c in t)):
+            near = [(math.exp(-0.5 * (j - i) ** 2), ratio(j, of)) for j in range(max(0, i - reach), min(len(rows), i + reach + 1))]
+            parts.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+        out.append(math.sqrt(parts[0] * (parts[1] + 0.1)))
+    return out
+
+
+def test_path_ratios_equal_plain_loops():
+    page = f"<body><ul><li><a>go</a><li><a>there</a> now</ul><div class=a><p>{LONG}</p><p>One, two.</p></div><div class=b><p>x</p><p>{LONG}!</p></div>tail"
+    found = html_extract.blocks(page)
+    names = ["body/ul/li"] * 2 + ["body/div.a/p"] * 2 + ["body/div.b/p"] * 2 + ["body"]
+    assert [names.index(x) for x in names] == [[b.path for b in found].index(b.path) for b in found]
+    rows = [(p, b.text, k) for p, b, k in zip(names, found, [2, 5, 0, 0, 0, 0, 0])]
+    for reach in (0, 2):
+        assert html_extract.path_scores(found, reach).tolist() == pytest.approx(plain_scores(rows, reach))
+
+
 def test_smoothed_scores_prefer_text_paths():
     found = html_extract.blocks("<body><div><p>" + LONG + "</p><p>" + LONG + "</p></div><ul>" + "<li><a>go</a></li>" * 9 + "</ul></body>")
     score = html_extract.path_scores(found)
