@@ -1,7 +1,13 @@
 """From raw documents to token ids: quality rules, line dedup, near-duplicate removal, source mix, byte-level BPE.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of ``documents``. ``run``
-writes each stage to shared storage and reads it again, so a lost executor costs at most one stage.
+writes each stage to shared storage and reads it again, so a lost executor costs at most one stage, and deletes the work
+tables of a stage and its input once its result is written.
+
+For every stage: null texts count as empty, and empty and very long ones are handled whole; rows without an id stay unless a
+rule rejects them; equal rows are one document where ids count (line dedup, n-gram join) and rows of their own elsewhere; ties
+go to the smallest id (n-gram join), the largest (line dedup) or a hash (mix); an empty table gives an empty one; extra columns
+of the input are dropped.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
-from lodestack.llm.runtime import Workspace, read
+from lodestack.llm.runtime import Workspace, read, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -69,7 +75,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = work.table(stage(spark, docs, sf_dir), f"{k}-{name}")
+        with scratch():
+            docs = work.table(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if before:
+            work.drop(before)
+        before = f"{k}-{name}"
     return docs

@@ -9,8 +9,10 @@ fractional document; residuals meet in the next level of a reduction tree, and t
 The words taken from a source thus differ from its target by less than one document. Randomness is a hash of ids, so reruns
 agree.
 
-Edge cases: null text has size 0; a null source is a source of its own, last in order; a source without words has target 0;
-documents of size 0 take nothing; equal rows are rounded one by one; rows without an id are documents like others; an empty table gives an empty one.
+Edge cases: null text has size 0, and very long texts count whole; a null source is a source of its own, last in order; a
+source without words has target 0; documents of size 0 take nothing; equal rows are rounded one by one, and so are rows that
+share an id; rows without an id are documents like others; ties of the hash are broken by id, key and size; an empty table
+gives an empty one. ``report`` ignores extra columns, ``apply`` passes them through.
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ def _round(bucket: int):
     """Pivotal rounding of one bucket: (copies, residual p or null) of its documents."""
 
     def run(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(["h", "doc_id", "size"], kind="stable").reset_index(drop=True)
+        d = d.sort_values(["h", "doc_id", "key", "other", "ord", "size"], kind="stable").reset_index(drop=True)
         seed = zlib.crc32(repr((d["depth"].iat[0], *[str(x) for x in key])).encode())
         rng = np.random.Generator(np.random.PCG64([seed, int(d["h"].iat[0]) & 0xFFFFFFFF]))
         p, size = d["p"].to_numpy(float).copy(), d["size"].to_numpy(float)
@@ -86,22 +88,28 @@ def _round(bucket: int):
     return run
 
 
-_ROW = "source string, source_size long, target double, doc_id long, ord int, size long, base long, p double, h long, bucket long, buckets long, depth int"
+_ROW = "source string, source_size long, target double, doc_id long, key long, other long, ord long, size long, base long, p double, h long, bucket long, buckets long, depth int"
 
 
 def mix(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, bucket: int = BUCKET) -> DataFrame:
-    """``sized`` (doc_id, ord, source, size) with source_size, target and ``copies``; ord tells rows with one id apart."""
+    """``sized`` (doc_id, key, other, source, size) with source_size, target and ``copies``.
+
+    key is a hash of the text and other one of whatever else tells rows apart. Rows equal in all columns are counted, which
+    needs no window over a key, and numbered by ``ord``.
+    """
     work = Workspace(spark, "mix")
-    sized = work.table(sized.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "ord", "source", "size"), "sized")
+    names = ["doc_id", "key", "other", "source", "size"]
+    sized = sized.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    sized = work.table(sized.select(*names, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("ord")), "sized")
     per = work.table(targets(sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")), weights, cap), "targets")
     n_sources, most = per.agg(F.count(F.lit(1)), F.max("n_docs")).first()
     side = F.broadcast(per) if n_sources <= BROADCAST_SOURCES else per
     rows = sized.alias("d").join(side.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.n_docs", "s.source_size", "s.target")
     wish = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     base = F.floor(wish + F.lit(1e-9))
-    h = F.xxhash64("doc_id", "ord", F.lit(17))
+    h = F.xxhash64("doc_id", "key", "ord", F.lit(17))
     rows = rows.withColumn("base", base.cast("bigint")).withColumn("p", F.greatest(F.lit(0.0), wish - base)).withColumn("h", h)
-    rows = rows.withColumn("buckets", F.ceil(F.col("n_docs") / F.lit(bucket))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "ord"), F.col("buckets"))).withColumn("depth", F.lit(0))
+    rows = rows.withColumn("buckets", F.ceil(F.col("n_docs") / F.lit(bucket))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "key", "other", "ord"), F.col("buckets"))).withColumn("depth", F.lit(0))
     rows = rows.selectExpr(*[f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in _ROW.split(", ")])
     done, level, n = None, rows, ceil((most or 0) / bucket)
     for depth in range(64):
@@ -112,21 +120,37 @@ def mix(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...] = (1,
         if n <= 1:
             break
         level, n = level.filter(open_), ceil(n / bucket)
-    return done.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "ord", "source", "size", "source_size", "target", (F.col("base") + F.col("p")).cast("bigint").alias("copies"))
+    for name in ("sized", "targets"):
+        work.drop(name)
+    return done.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "key", "other", "source", "size", "source_size", "target", (F.col("base") + F.col("p")).cast("bigint").alias("copies"))
 
 
 def report(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, bucket: int = BUCKET) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (size times copies), source, copies."""
-    sized = docs.select("doc_id", F.lit(0).alias("ord"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    sized = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(), F.lit(0).cast("bigint").alias("other"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     out = mix(spark, sized, weights, cap, bucket)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def text_hash(name: str = "key"):
+    return F.xxhash64("text", F.col("text").isNull()).alias(name)
+
+
+KEY, OTHER, COPIES, TIMES = "__mix_key", "__mix_other", "__mix_copies", "__mix_times"
+
+
 def apply(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its columns unchanged."""
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("source"), F.lit(""))), F.col("source"))
-    rows = docs.withColumn("__mix_ord", F.row_number().over(same) - 1)
-    sized = docs.select("doc_id", "text", "source").withColumn("ord", F.row_number().over(same) - 1).select("doc_id", "ord", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    copies = mix(spark, sized, weights, cap).filter("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("ord").alias("__mix_o"), F.col("copies").alias("__mix_n"))
-    taken = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_ord") == F.col("__mix_o")))
-    return taken.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns unchanged.
+
+    A row goes by two 64-bit hashes, of its text and of all its columns. Equal rows are rounded one by one; as they are equal,
+    their copies are added up and given out from one of them. Only the last join moves texts.
+    """
+    work = Workspace(spark, "taken")
+    cells = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    keyed = docs.withColumn(KEY, text_hash()).withColumn(OTHER, F.xxhash64(*cells))
+    sized = keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(KEY).alias("key"), F.col(OTHER).alias("other"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    taken = mix(spark, sized, weights, cap).groupBy(F.col("key").alias("k"), F.col("other").alias("o")).agg(F.sum("copies").alias(COPIES), F.count(F.lit(1)).alias(TIMES))
+    taken = work.table(taken.filter(F.col(COPIES) > 0), "copies")
+    joined = keyed.join(taken, (F.col(KEY) == F.col("k")) & (F.col(OTHER) == F.col("o"))).drop("k", "o")
+    once = joined.filter(F.col(TIMES) == 1).unionByName(joined.filter(F.col(TIMES) > 1).dropDuplicates([KEY, OTHER]))
+    return once.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(COPIES)))).select(*[F.col(f"`{c}`") for c in docs.columns])

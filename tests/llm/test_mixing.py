@@ -77,6 +77,19 @@ def test_apply_repeats_rows(spark):
     assert {k: v for k, v in want.items() if v} == dict(count)
 
 
+def test_apply_gives_equal_rows_and_shared_ids_their_own_copies(spark):
+    data = [(1, "a b c", "s", "x")] * 5 + [(1, "a b c", "s", "y"), (1, "d e", "s", "x"), (None, "f g", "s", None), (None, "f g", "s", None), (None, None, "s", "f g"), (7, "h " * 50, "t", "x")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, `a.b` string")
+    out = mixing.apply(spark, df)
+    got = out.collect()
+    assert out.columns == df.columns and {tuple(r) for r in got} <= set(data)
+    size = lambda s: sum(len((r.text or "").split()) for r in got if r.source == s)
+    want = fill({"s": 24, "t": 50})
+    assert all(abs(size(s) - want[s]) <= {"s": 3, "t": 50}[s] for s in want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.report(spark, df).collect() == [] and mixing.apply(spark, df).collect() == []
