@@ -22,7 +22,8 @@ from .streaming import changes
 
 QUERY = "Anat worthless thtion the and elle"
 TERMS = ["anat", "worthless", "thtion", "elle"]
-DEPTH, K = 40, 10
+K = 10
+DEPTH, LANGUAGE_DEPTH = select.candidate_limit(K), select.candidate_limit(K, "en")  # rows a list gives to a fusion
 AS_OF = "2024-06-01 00:00:00"
 EXTENSIONS = [".go", ".PY", ".rs", ".tsx", ".md", ".yaml", ".cc", ".unknown", "", ".env", ".hs", ".vue"]
 
@@ -72,6 +73,7 @@ vc AS MATERIALIZED (SELECT id, score::FLOAT AS score, row_number() OVER (ORDER B
 _RRF = f"""{_BM}, {_VEC},
 fu AS MATERIALIZED (SELECT coalesce(v.id, k.id) AS id, (coalesce((1.0::DOUBLE / (60 + v.rank))::FLOAT, 0) + coalesce((1.0::DOUBLE / (60 + k.rank))::FLOAT, 0))::FLOAT AS score,
   coalesce(v.score, 0)::FLOAT AS vscore, coalesce(k.score, 0)::FLOAT AS kscore FROM vc v FULL OUTER JOIN kw k ON v.id = k.id)"""
+_DEEP = lambda sql: sql.replace(f"LIMIT {DEPTH})", f"LIMIT {LANGUAGE_DEPTH})")  # noqa: E731  lists as a query with a language filter takes them
 _CH = f"ch AS (SELECT doc_id AS id, source AS file_path, lang AS language, text AS content, {_KIND} AS chunk_type FROM documents)"
 _NORM = lambda name, src: f"{name} AS (SELECT id, (CASE WHEN max(score) OVER () = min(score) OVER () THEN score ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END)::FLOAT AS score FROM {src})"
 
@@ -174,6 +176,17 @@ def bm25_indexed(spark, sf_dir):
     return out.select("id", r(F.col("score")).alias("score"))
 
 
+@query(f"WITH {_BM} SELECT 0 AS query_id, d.doc_id AS id, round(coalesce(bm.score, 0), 5) AS score FROM documents d LEFT JOIN bm ON bm.id = d.doc_id WHERE d.doc_id % 7 = 3")
+def bm25_given_docs(spark, sf_dir):
+    """Scores of a list of documents; the list is every seventh one."""
+    c = chunks(spark, sf_dir)
+    terms = lexical.query_terms(spark.createDataFrame([(0, QUERY)], "query_id int, text string"))
+    stats = index.tokenized(c).select("id", "dl")
+    given = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).filter("id % 7 = 3")
+    out = lexical.bm25_docs(terms, index.postings(c, terms=TERMS), stats, index.corpus_stats(stats), given)
+    return out.select("query_id", "id", r(F.col("score")).alias("score"))
+
+
 @query(
     f"""WITH {_T}, {_P},
 qt AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(list_filter({_TOK('text')}, lambda x: NOT list_contains({_STOPS}, x) AND strlen(x) > 1)) AS term FROM benchmark) GROUP BY ALL),
@@ -267,14 +280,15 @@ def dedup_truncate(spark, sf_dir):
 
 
 # selection and reranking ---------------------------------------------------------------------------------------------------
-def fused_chunks(spark, sf_dir) -> DataFrame:
-    fused = fusion.combine(vector_list(spark, sf_dir), keyword_list(spark, sf_dir))
-    return chunks(spark, sf_dir).join(F.broadcast(fused), "id")  # two lists of DEPTH rows
+def fused_chunks(spark, sf_dir, language: str = "") -> DataFrame:
+    limit = select.candidate_limit(K, language)
+    fused = fusion.combine(vector_list(spark, sf_dir, limit), keyword_list(spark, sf_dir, limit))
+    return chunks(spark, sf_dir).join(F.broadcast(fused), "id")  # two lists of at most 10 K rows
 
 
-@query(f"WITH {_RRF}, {_CH} SELECT id, language, round(score::DOUBLE, 5) AS score FROM fu JOIN ch USING (id) WHERE lower(language) = 'en'")
+@query(f"WITH {_DEEP(_RRF)}, {_CH} SELECT id, language, round(score::DOUBLE, 5) AS score FROM fu JOIN ch USING (id) WHERE lower(language) = 'en'")
 def language_postfilter(spark, sf_dir):
-    return select.language_filter(fused_chunks(spark, sf_dir), " EN ").select("id", "language", r(F.col("score")).alias("score"))
+    return select.language_filter(fused_chunks(spark, sf_dir, "en"), " EN ").select("id", "language", r(F.col("score")).alias("score"))
 
 
 @query(f"WITH {_RRF}, {_CH} SELECT id, round(fu.score::DOUBLE, 5) AS relevance_score FROM fu JOIN ch USING (id) ORDER BY fu.score DESC, id LIMIT {K}")
@@ -350,10 +364,10 @@ def mmr_select(spark, sf_dir):
     return rerank.mmr(rows.join(e, "id", "left")).select("id", "relevance_score", "mmr_rank")
 
 
-@query(f"WITH {_TOP} SELECT id, row_number() OVER (ORDER BY round(relevance, 6) DESC, id)::INT AS rank, round(relevance, 5) AS relevance_score, file_path FROM (SELECT * FROM re WHERE language = 'en' ORDER BY score DESC, id LIMIT {K}) ORDER BY rank")
+@query(f"WITH {_DEEP(_TOP)} SELECT id, row_number() OVER (ORDER BY round(relevance, 6) DESC, id)::INT AS rank, round(relevance, 5) AS relevance_score, file_path FROM (SELECT * FROM re WHERE language = 'en' ORDER BY score DESC, id LIMIT {K}) ORDER BY rank")
 def hybrid_search(spark, sf_dir):
     """The flagship: candidates of both kinds, fusion, language filter, top-k, rerank, rank."""
-    top = select.finalize(select.language_filter(fused_chunks(spark, sf_dir), "en"), K)
+    top = select.finalize(select.language_filter(fused_chunks(spark, sf_dir, "en"), "en"), K)
     best = rerank.heuristic(top, QUERY)
     rank = F.row_number().over(Window.orderBy(F.round(F.col("relevance_score").cast("double"), 6).desc(), "id"))
     return best.select("id", rank.alias("rank"), r(F.col("relevance_score")).alias("relevance_score"), "file_path")
@@ -397,6 +411,14 @@ def graph_nodes(spark, sf_dir):
     return graph.nodes(graph_chunks(spark, sf_dir)).drop("metadata")
 
 
+@query(f"WITH {_G} SELECT id, name FROM g WHERE id = 5 OR name = (SELECT name FROM g WHERE id = 7)")
+def graph_lookup(spark, sf_dir):
+    """A node by its id and all nodes of a name."""
+    ns = graph.nodes(graph_chunks(spark, sf_dir))
+    name = graph.by_id(ns, 7).first().name
+    return graph.by_id(ns, 5).unionByName(graph.by_name(ns, name)).select("id", "name").distinct()
+
+
 for _rel in ("call", "import", "define"):
 
     def _edges(spark, sf_dir, rel=_rel):

@@ -73,15 +73,27 @@ def stats(es: DataFrame, ns: DataFrame) -> DataFrame:
     return ns.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(es.agg(F.count(F.lit(1)).alias("edges")))
 
 
-def neighbours(es: DataFrame) -> DataFrame:
-    """(origin, id, class_order, edge_order) of all five expansion classes, in one pass over the edges.
+def by_id(ns: DataFrame, node_id) -> DataFrame:
+    """The node of an id, or no row."""
+    return ns.filter(F.col("id") == F.lit(node_id))
 
-    An edge counts from both ends where its relation has a class there; parallel edges count once, at their first place.
+
+def by_name(ns: DataFrame, name: str) -> DataFrame:
+    """All nodes of a name."""
+    return ns.filter(F.col("name") == F.lit(name))
+
+
+def neighbours(es: DataFrame, origins: DataFrame) -> DataFrame:
+    """(origin, id, class_order, edge_order) of all five expansion classes of the ``origins`` (origin), in one pass over the edges.
+
+    An edge counts from both ends where its relation has a class there; parallel edges count once, at their first place. Edges
+    of other origins go before anything is grouped.
     """
     step = lambda origin, other, k: F.struct(F.col(origin).alias("origin"), F.col(other).alias("id"), F.lit(k).alias("class_order"))
     ways = F.when(F.col("relation") == "call", F.array(step("src", "dst", 0), step("dst", "src", 1)))
     ways = ways.when(F.col("relation") == "define", F.array(step("dst", "src", 2), step("src", "dst", 3))).otherwise(F.array(step("src", "dst", 4)))
-    return es.select(F.explode(ways).alias("w"), "seq").groupBy("w.origin", "w.id", "w.class_order").agg(F.min("seq").cast("int").alias("edge_order"))
+    out = es.select(F.explode(ways).alias("w"), "seq").select("w.*", "seq").join(origins, "origin", "left_semi")
+    return out.groupBy("origin", "id", "class_order").agg(F.min("seq").cast("int").alias("edge_order"))
 
 
 def expand(results: DataFrame, es: DataFrame, ids: DataFrame, max_chunks: int = MAX_CHUNKS, classes: tuple[str, ...] = tuple(c for c, _ in CLASSES)) -> DataFrame:
@@ -94,7 +106,7 @@ def expand(results: DataFrame, es: DataFrame, ids: DataFrame, max_chunks: int =
     names = F.create_map(*[F.lit(x) for k, (n, _) in enumerate(CLASSES) for x in (k, f"expansion:{n}")])
     wanted = [k for k, (n, _) in enumerate(CLASSES) if n in classes]
     originals = F.broadcast(results.select("id", "rank"))  # a result list, at most max_results rows
-    near = neighbours(es).filter(F.col("class_order").isin(wanted)) if wanted else neighbours(es).filter(F.lit(False))
+    near = neighbours(es, originals.select(F.col("id").alias("origin"))).filter(F.col("class_order").isin(wanted) if wanted else F.lit(False))
     cand = near.join(originals.withColumnRenamed("id", "origin"), "origin").join(originals.select("id"), "id", "left_anti").join(ids.select("id").distinct(), "id", "left_semi")
     first = Window.partitionBy("id").orderBy("rank", "class_order", "edge_order")
     cand = cand.withColumn("_n", F.row_number().over(first)).filter("_n = 1").orderBy("rank", "class_order", "edge_order", "id").limit(max_chunks)
@@ -144,10 +156,17 @@ def reachable(results: DataFrame, es: DataFrame, max_depth: int) -> DataFrame:
 
 
 def expand_deep(results: DataFrame, es: DataFrame, ids: DataFrame, max_depth: int = 2, max_chunks: int = MAX_CHUNKS) -> DataFrame:
-    """Expansion with followed callees. Joins gather the bounded neighbourhood; one group walks it depth-first."""
+    """Expansion with followed callees. Joins gather the bounded neighbourhood; one group walks it depth-first.
+
+    Of a node's neighbours only the first ``max_chunks`` and as many as there are originals can matter, each at its first
+    place: a walk skips no more than it has seen. So hubs don't widen the group.
+    """
     start = reachable(results, es, max_depth - 1).select("id").distinct()
-    live = neighbours(es).join(ids.select("id").distinct(), "id", "left_semi")
-    edge = live.join(start.withColumnRenamed("id", "origin"), "origin", "left_semi").withColumn("one", F.lit(1))
+    live = neighbours(es, start.withColumnRenamed("id", "origin")).join(ids.select("id").distinct(), "id", "left_semi")
+    once = live.groupBy("origin", "id").agg(F.min(F.struct("class_order", "edge_order")).alias("p")).select("origin", "id", "p.*")
+    place = F.row_number().over(Window.partitionBy("origin").orderBy("class_order", "edge_order", "id"))
+    total = F.broadcast(results.agg(F.count(F.lit(1)).alias("n_orig")))
+    edge = once.withColumn("place", place).crossJoin(total).filter(F.col("place") <= 2 * (F.col("n_orig") + max_chunks)).withColumn("one", F.lit(1))
     kind = results.schema["id"].dataType.simpleString()
     known = edge.select("one", "origin", "id", "class_order", "edge_order", F.lit(None).cast("int").alias("rank"))
     tops = results.select(F.lit(1).alias("one"), F.lit(None).cast(kind).alias("origin"), "id", F.lit(None).cast("int").alias("class_order"), F.lit(None).cast("int").alias("edge_order"), F.col("rank").cast("int").alias("rank"))

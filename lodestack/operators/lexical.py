@@ -28,6 +28,17 @@ def bm25_batch(terms: DataFrame, posts: DataFrame, stats: DataFrame, corpus: Dat
     return rows.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
+def bm25_docs(terms: DataFrame, posts: DataFrame, stats: DataFrame, corpus: DataFrame, ids: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score) of the given documents for every query; 0 where they share no term. Frequencies are the corpus's."""
+    freq = posts.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = ids.select("id").distinct()
+    hit = posts.join(wanted, "id", "left_semi").join(freq, "term").join(terms, "term").join(stats.select("id", "dl"), "id").crossJoin(F.broadcast(corpus.select("n", "avgdl")))
+    part = scoring.idf(F.col("n"), F.col("df")) * scoring.tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b) * F.col("qtf")
+    found = hit.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    every = wanted.crossJoin(F.broadcast(terms.select("query_id").distinct()))  # one row a query and given document is what is asked for
+    return every.join(found, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def _equals(word: str):
     return lambda x: x == word
 

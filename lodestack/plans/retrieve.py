@@ -31,8 +31,11 @@ def keyword_candidates(posts: DataFrame, docs: DataFrame, toks: list[str], limit
     return lexical.topk(scored.select("id", "score"), limit)
 
 
-def retrieve(chunks: DataFrame, posts: DataFrame, docs: DataFrame, edges: DataFrame | None, query: Query, query_vector: list[float] | None, strategy: str = "rrf", alpha: float = 0.7, mmr_lambda: float | None = 0.7, max_per_file: int = 3, manifest: DataFrame | None = None, as_of: float | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Ranked results of a query. Without a query vector only keywords count."""
+def retrieve(chunks: DataFrame, posts: DataFrame, docs: DataFrame, edges: DataFrame | None, query: Query, query_vector: list[float] | None, strategy: str = "rrf", alpha: float = 0.7, max_per_file: int = 3, manifest: DataFrame | None = None, as_of: float | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Ranked results of a query. Without a query vector only keywords count.
+
+    The list is in order of relevance; an order for diversity would be lost to it, so it is left to callers (``rerank.with_mmr``).
+    """
     check_range(query.max_results, 1, 10_000, "max_results")
     k = query.max_results
     limit = select.candidate_limit(k, query.language)
@@ -47,8 +50,6 @@ def retrieve(chunks: DataFrame, posts: DataFrame, docs: DataFrame, edges: DataFr
     if manifest is not None:
         top = top.join(manifest.select(F.col("path").alias("file_path"), "mtime"), "file_path", "left")
     best = rerank.heuristic(top, query.text, time.time() if as_of is None else as_of, "mtime" if manifest is not None else None)
-    if mmr_lambda is not None:
-        best = rerank.mmr(best.withColumn("query_id", F.lit(0)), mmr_lambda)
     capped = fusion.ranked(select.per_file_cap(best, max_per_file).drop("score").withColumn("score", F.col("relevance_score")))
     capped = capped.join(top.select("id", F.col("score").alias("fused")), "id").withColumn("score", F.col("fused"))
     cols = ["id", "rank", "score", "source", "vector_score", "keyword_score", "relevance_score"]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import language as lang
+from ..functions import text
 from ..schema import PARSED
 from . import golang
 
@@ -21,8 +22,7 @@ WINDOW, STRIDE = 50, 45
 
 
 def _source(files: DataFrame) -> DataFrame:
-    content = F.make_valid_utf8(F.col("content").cast("string"))
-    return files.select("path", content.alias("content"), lang.language(F.col("path")).alias("language"))
+    return files.select("path", text.valid_utf8(F.col("content")).alias("content"), lang.language(F.col("path")).alias("language"))
 
 
 def _blank(text: Column) -> Column:
