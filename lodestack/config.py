@@ -24,6 +24,22 @@ def _flag(name: str, default: bool) -> bool:
     return raw == "true" if raw else default
 
 
+def load_env(path: str = ".env") -> None:
+    """Settings of a file of NAME=value lines; what the environment has already stays. No file is no error."""
+    if not os.path.exists(path):
+        return
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            name, eq, value = line.strip().removeprefix("export ").partition("=")
+            if eq and not name.startswith("#"):
+                value = value.strip()
+                if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1:
+                    value = value[1:-1]
+                else:
+                    value = value.split(" #", 1)[0].rstrip()
+                os.environ.setdefault(name.strip(), value)
+
+
 @dataclass
 class Config:
     embedder_url: str = field(default_factory=lambda: _text("OLLAMA_URL", "http://localhost:11434"))
@@ -44,5 +60,9 @@ class Config:
     prompt_template: str = field(default_factory=lambda: _text("PROMPT_TEMPLATE", "professional"))
     use_mmr: bool = field(default_factory=lambda: _flag("USE_MMR", True))
     mmr_lambda: float = field(default_factory=lambda: _number("MMR_LAMBDA", 0.7, float))
+    port: int = field(default_factory=lambda: _number("SERVER_PORT", 8080, int))
+    log_level: str = field(default_factory=lambda: _text("LOG_LEVEL", "info"))
+    log_format: str = field(default_factory=lambda: _text("LOG_FORMAT", "text"))
+    workers: int = field(default_factory=lambda: _number("NUM_WORKERS", 0, int))  # tasks that read files; 0: four a core
     max_tokens: int = 4096
     max_per_file: int = 3

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..errors import check_non_empty
+from ..errors import check_non_empty, not_found
 from ..operators import graph
 from ..sources import chunker, files, models, parsers
 from ..sources.store import ChunkStore
@@ -16,6 +18,7 @@ from . import prompt, retrieve
 
 NODES = "id string, type string, name string, file_path string, metadata map<string,string>"
 EDGES = "src string, dst string, relation string, seq int"
+JOB_SECONDS = 600.0
 STATUS = "path string, status string, chunks bigint, error string"
 
 
@@ -27,10 +30,49 @@ class Engine:
         self.embedder = embedder or models.HashingEmbedder()
         self.generator = generator or models.EchoGenerator()
         self.store = ChunkStore(spark, store_path, dim=len(self.embedder.embed("x")))
+        self._jobs: dict[str, dict] = {}
+
+    @classmethod
+    def from_config(cls, spark: SparkSession, config: Config | None = None) -> Engine:
+        """An engine with the HTTP models and the collection that the settings name."""
+        c = config or Config()
+        embedder = models.HttpEmbedder(c.embedder_url, c.embedding_model, workers=c.embedding_workers, most=c.max_embeddings)
+        return cls(spark, f"{c.store_path.rstrip('/')}/{c.collection}", embedder, models.HttpGenerator(c.embedder_url, c.llm_model), c)
+
+    def run_job(self, path: str, job_id: str | None = None, ceiling: float = JOB_SECONDS) -> dict:
+        """Index ``path`` as a job that is stopped after ``ceiling`` seconds; its record stays for ``job``."""
+        job_id = job_id or uuid.uuid4().hex
+        record = self._jobs[job_id] = {"id": job_id, "path": path, "state": "running", "started": time.time()}
+        sc, done = self.spark.sparkContext, threading.Event()
+        sc.addJobTag(f"index-{job_id}")
+
+        def stop() -> None:
+            while not done.wait(1):  # jobs that start later are stopped too
+                if time.time() - record["started"] > ceiling:
+                    sc.cancelJobsWithTag(f"index-{job_id}")
+
+        threading.Thread(target=stop, daemon=True).start()
+        try:
+            record["files"] = {r["status"]: r["count"] for r in self.index(path).groupBy("status").count().collect()}
+            record["state"] = "completed"
+        except Exception as e:
+            record.update(state="failed", error=str(e))
+            raise
+        finally:
+            done.set()
+            sc.removeJobTag(f"index-{job_id}")
+            record["ended"] = time.time()
+        return record
+
+    def job(self, job_id: str) -> dict:
+        """The record of a job; an error where there is none."""
+        if job_id not in self._jobs:
+            raise not_found(f"no job {job_id}")
+        return dict(self._jobs[job_id])
 
     def index(self, path: str) -> DataFrame:
         """Index a file or directory; unchanged files are skipped. Returns (path, status, chunks, error) per file."""
-        return self._index(files.scan(self.spark, path))
+        return self._index(files.scan(self.spark, path, workers=self.config.workers))
 
     def index_files(self, paths: list[str]) -> DataFrame:
         """Index given files (of a change feed)."""
@@ -50,7 +92,8 @@ class Engine:
             cut = chunker.chunk(parsed, self.config.max_chunk_size, self.config.chunk_overlap)
             rows = models.with_embeddings(cut, self.embedder)
             self.store.write_single("status", self._status(scanned, todo, failed, cut))
-            self.store.upsert(rows, done.select(F.col("path").alias("file_path")))
+            paths = done.select(F.col("path").alias("file_path"))
+            models.with_retry(lambda: self.store.upsert(rows, paths))  # a write is a new version, so it can be tried again
             fresh = done.select("path", "md5", "mtime")
             manifest = self.store.manifest().join(fresh.select("path"), "path", "left_anti").unionByName(fresh)
             self.store.write_single("manifest", manifest)
@@ -90,7 +133,7 @@ class Engine:
         c = self.config
         return retrieve.retrieve(
             self.store.chunks(), self.store.postings(), self.store.docs(), self.edges(), retrieve.Query(text, max_results, language, expand), self.embedder.embed(text) if c.hybrid else None,
-            c.fusion, c.vector_weight, c.mmr_lambda if c.use_mmr else None, c.max_per_file, self.store.manifest(), as_of, c.bm25_k1, c.bm25_b,
+            c.fusion, c.vector_weight, c.max_per_file, self.store.manifest(), as_of, c.bm25_k1, c.bm25_b,
         )
 
     def prompt(self, text: str, results: DataFrame) -> str:

@@ -19,7 +19,7 @@ from ..errors import check_directory
 from ..functions.language import language, language_of_path
 
 SKIPPED = ("node_modules", "vendor")
-READ_PARALLELISM = 10_000  # files per task at most
+FILES_A_TASK = 10_000  # at most
 
 
 def skipped_dir(name: str) -> bool:
@@ -61,11 +61,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def scan(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(path, content, md5, mtime, error, language) of every file; an unreadable file has its error and no content."""
+def scan(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), workers: int = 0) -> DataFrame:
+    """(path, content, md5, mtime, error, language) of every file; an unreadable file has its error and no content.
+
+    Read by ``workers`` tasks (default: four a core), or by more where a task would get more than ``FILES_A_TASK`` files.
+    """
     listed = list_files(root, exclude)
     paths = spark.createDataFrame([(p, m) for p, m, _ in listed] or [], "path string, mtime double")
-    parts = max(1, min(len(listed), spark.sparkContext.defaultParallelism * 4))
+    wanted = workers or spark.sparkContext.defaultParallelism * 4
+    parts = max(1, min(len(listed), wanted), -(-len(listed) // FILES_A_TASK))
     rows = paths.repartition(parts).mapInArrow(_read, "path string, content binary, md5 string, mtime double, error string")
     return rows.withColumn("language", language(F.col("path")))
 

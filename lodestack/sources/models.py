@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -63,13 +65,28 @@ def _post(url: str, body: dict, timeout: float):
         raise AppError(EXTERNAL, f"request to {url} failed", e) from e
 
 
+_slots: dict[tuple[str, int], threading.BoundedSemaphore] = {}
+_lock = threading.Lock()
+
+
+def _slot(url: str, most: int) -> threading.BoundedSemaphore:
+    """The requests to a server that this process may have open at once."""
+    with _lock:
+        return _slots.setdefault((url, most), threading.BoundedSemaphore(most))
+
+
 class HttpEmbedder:
-    """POST {model, prompt} to /api/embeddings and read {embedding}."""
+    """POST {model, prompt} to /api/embeddings and read {embedding}; ``workers`` requests of a batch at once, ``most`` in a process."""
 
-    def __init__(self, url: str, model: str, timeout: float = 30.0):
+    def __init__(self, url: str, model: str, timeout: float = 30.0, workers: int = 8, most: int = 16):
         self.url, self.model, self.timeout = url.rstrip("/"), model, timeout
+        self.workers, self.most = max(1, workers), max(1, most)
 
     def embed(self, one: str) -> list[float]:
+        with _slot(self.url, self.most):
+            return self._ask(one)
+
+    def _ask(self, one: str) -> list[float]:
         got = _post(f"{self.url}/api/embeddings", {"model": self.model, "prompt": one[: text.EMBED_CHARS]}, self.timeout)
         if "embedding" not in got:
             raise AppError(EXTERNAL, "the reply has no embedding")
@@ -77,7 +94,16 @@ class HttpEmbedder:
 
     def embed_batch(self, texts: list[str]) -> list[list[float]]:
         """In order; the first failure fails the batch."""
-        return [self.embed(t) for t in texts]
+        if len(texts) < 2 or self.workers == 1:
+            return [self.embed(t) for t in texts]
+        with ThreadPoolExecutor(min(self.workers, len(texts))) as pool:
+            asked = [pool.submit(self.embed, t) for t in texts]
+            try:
+                return [a.result() for a in asked]
+            except Exception:
+                for a in asked:
+                    a.cancel()
+                raise
 
 
 def with_embeddings(chunks: DataFrame, embedder, batch: int = 20) -> DataFrame:
@@ -88,7 +114,8 @@ def with_embeddings(chunks: DataFrame, embedder, batch: int = 20) -> DataFrame:
         for s in parts:
             out: list = []
             for at in range(0, len(s), batch):
-                out += embedder.embed_batch(list(s.iloc[at : at + batch]))
+                part = list(s.iloc[at : at + batch])
+                out += with_retry(lambda part=part: embedder.embed_batch(part))
             yield pd.Series(out)
 
     return chunks.withColumn("embedding", run(text.embedding_text(F.col("content"))))

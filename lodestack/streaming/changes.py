@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -115,11 +116,18 @@ def watch(spark, root: str) -> DataFrame:
     return spark.readStream.format("directory_changes").option("path", root).load()
 
 
-def handler(engine) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function that keeps an engine up to date: the last event of each path in a batch counts."""
+def handler(engine, gap: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function that keeps an engine up to date: the last event of each path in a batch counts.
+
+    A batch waits until its newest event is ``gap`` seconds old and then looks at the files, so a burst that goes on in the
+    meantime is read in its last state, and its later events find unchanged content.
+    """
 
     def apply(batch: DataFrame, _: int) -> None:
-        last = actions(batch.groupBy("path").agg(F.max_by("event", "ts").alias("event"))).collect()  # changed paths of one micro-batch
+        last = batch.groupBy("path").agg(F.max_by("event", "ts").alias("event"), F.max(F.unix_millis("ts")).alias("ms"))
+        last = actions(last).collect()  # changed paths of one micro-batch
+        if last:
+            sleep(min(gap, max(0.0, gap - (time.time() - max(r.ms for r in last) / 1000))))
         gone = [r.path for r in last if r.action == "delete" or not os.path.exists(r.path)]
         new = [r.path for r in last if r.path not in gone]
         if gone:
@@ -130,6 +138,6 @@ def handler(engine) -> Callable[[DataFrame, int], None]:
     return apply
 
 
-def start(engine, root: str, checkpoint: str, trigger: dict | None = None):
-    """Start watching; returns the StreamingQuery."""
-    return watch(engine.spark, root).writeStream.foreachBatch(handler(engine)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+def start(engine, root: str, checkpoint: str, trigger: dict | None = None, gap: float = 0.5):
+    """Start watching, with bursts of events debounced by ``gap`` seconds; returns the StreamingQuery."""
+    return watch(engine.spark, root).writeStream.foreachBatch(handler(engine, gap)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()

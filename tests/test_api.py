@@ -7,26 +7,23 @@ import urllib.error
 import urllib.request
 
 from lodestack import logs
-from lodestack.errors import EXTERNAL, AppError, validation
+from lodestack.errors import EXTERNAL, AppError, not_found, validation
 from lodestack.plans.http_api import Api, serve
 
 
-class Rows:
-    def groupBy(self, _):
-        return self
-
-    def count(self):
-        return self
-
-    def collect(self):
-        return [("indexed", 2)]
-
-
 class Engine:
-    def index(self, path):
+    def __init__(self):
+        self.jobs = {}
+
+    def run_job(self, path, job_id):
+        self.jobs[job_id] = {"path": path, "state": "failed" if path == "/bad" else "completed"}
         if path == "/bad":
             raise AppError(EXTERNAL, "no such thing")
-        return Rows()
+
+    def job(self, job_id):
+        if job_id not in self.jobs:
+            raise not_found("no such job")
+        return self.jobs[job_id]
 
     def query(self, text, k, language):
         if text == "fail":
@@ -49,19 +46,23 @@ def test_calls():
         except urllib.error.HTTPError as e:
             return e.code, json.loads(e.read())
 
-    assert call("/api/status")[0] == 200 and call("/nope")[0] == 404 and call("/nope", {})[0] == 404
+    assert call("/api/status") == (200, {"status": "alive"}) and call("/nope")[0] == 404 and call("/nope", {})[0] == 404
     assert call("/api/index", {"path": "/x"})[0] == 202 and call("/api/index", {})[0] == 400 and call("/api/index", raw=b"{")[0] == 400
     assert call("/api/query", {"query": "how"}) == (200, {"response": "how:5:", "results": []})
     assert call("/api/query", {"query": "how", "max_results": 2, "language": "go"})[1]["response"] == "how:2:go"
     assert call("/api/query", {"query": "fail"})[0] == 500 and call("/api/query", {"query": ""})[0] == 400 and call("/api/query", raw=b"[]")[0] == 400
     for path, state in (("/x", "completed"), ("/bad", "failed")):
-        call("/api/index", {"path": path})
+        code, started = call("/api/index", {"path": path})
+        assert code == 202 and started["status"] == "indexing_started" and started["path"] == path
         for _ in range(100):
-            last = call("/api/status")[1]["last_run"]
-            if last["path"] == path and last["state"] != "running":
+            code, job = call(f"/api/jobs/{started['job_id']}")
+            if code == 200:
                 break
             time.sleep(0.05)
-        assert last["state"] == state
+        assert job == {"path": path, "state": state}
+    assert call("/api/jobs/none")[0] == 404
+    paths = call("/swagger/doc.json")[1]["paths"]
+    assert set(paths) == {"/api/index", "/api/query", "/api/status", "/api/jobs/{id}"} and set(paths["/api/index"]["post"]["responses"]) == {"202", "400"}
     server.shutdown()
     api.close()
 

@@ -112,3 +112,46 @@ def test_change_feed(spark, engine, tree, tmp_path):
     assert engine.store.chunks().filter("content LIKE '%arrives_late%'").count() == 0
     assert engine.store.postings().filter("term = 'arrives'").count() == 0
     assert engine.store.manifest().filter(f"path = '{path}'").count() == 0
+
+
+def test_jobs_and_service(spark, tmp_path):
+    import threading
+    import time
+    import urllib.request
+
+    from lodestack import __main__ as service
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("def answer():\n    return 42\n")
+    config = Config(target=str(tmp_path / "src"), port=0)
+    engine = Engine(spark, str(tmp_path / "store"), config=config)
+    record = engine.run_job(config.target, "one")
+    assert record["state"] == "completed" and record["files"] == {"indexed": 1} and engine.job("one") == record
+    with pytest.raises(AppError) as e:
+        engine.job("two")
+    assert is_kind(e.value, NOT_FOUND)
+    with pytest.raises(AppError):
+        engine.run_job(str(tmp_path / "none"), "three")
+    assert engine.job("three")["state"] == "failed"
+    stop, ports = threading.Event(), []
+    serve = service.http_api.serve
+
+    def noted(*a):
+        ports.append(serve(*a))
+        return ports[-1]
+
+    service.http_api.serve = noted
+    try:
+        thread = threading.Thread(target=service.run, args=(engine, config, stop))
+        thread.start()
+        for _ in range(100):
+            if ports:
+                break
+            time.sleep(0.1)
+        with urllib.request.urlopen(f"http://127.0.0.1:{ports[0].server_port}/api/status", timeout=10) as r:
+            assert r.status == 200
+    finally:
+        stop.set()
+        thread.join(120)
+        service.http_api.serve = serve
+    assert not thread.is_alive()

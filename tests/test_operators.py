@@ -1,6 +1,7 @@
 """Unit values of text functions, ranking, fusion, selection, graph and prompts."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -319,6 +320,87 @@ def test_http_models():
     server.shutdown()
 
 
+def test_batches_are_embedded_side_by_side():
+    import threading
+    import time
+
+    class Slow(models.HttpEmbedder):
+        open_, top, lock = 0, 0, threading.Lock()
+
+        def _ask(self, one):
+            with Slow.lock:
+                Slow.open_ += 1
+                Slow.top = max(Slow.top, Slow.open_)
+            time.sleep(0.02)
+            with Slow.lock:
+                Slow.open_ -= 1
+            if one == "fail":
+                raise errors.AppError(errors.EXTERNAL, "no")
+            return [float(one)]
+
+    assert Slow("http://a", "m", workers=4, most=3).embed_batch([str(i) for i in range(24)]) == [[float(i)] for i in range(24)]
+    assert 1 < Slow.top <= 3
+    with pytest.raises(errors.AppError):
+        Slow("http://a", "m").embed_batch(["1", "fail", "2"])
+    assert Slow("http://a", "m").embed_batch([]) == []
+
+
+def test_env_file(tmp_path, monkeypatch):
+    for n in ("SERVER_PORT", "LOG_LEVEL", "FUSION_STRATEGY", "LLM_MODEL"):
+        monkeypatch.delenv(n, raising=False)
+    monkeypatch.setenv("NUM_WORKERS", "9")
+    monkeypatch.setattr(os, "environ", dict(os.environ))
+    path = tmp_path / ".env"
+    path.write_text("# a comment\nSERVER_PORT=9001 # the port\nexport LOG_LEVEL='debug'\nFUSION_STRATEGY=\"max\"\n\nNUM_WORKERS=3\nno value\nLLM_MODEL=a=b\n")
+    config.load_env(str(path))
+    config.load_env(str(tmp_path / "none"))
+    c = config.Config()
+    assert (c.port, c.log_level, c.fusion, c.workers, c.llm_model, c.log_format) == (9001, "debug", "max", 9, "a=b", "text")
+
+
+def plain_walk(edges, originals, known, depth, cap):
+    """Depth-first expansion from an edge list, one edge at a time: (id, class) after the originals."""
+    order = {"callee": 0, "caller": 1, "parent_type": 2, "child_method": 3, "import": 4}
+
+    def around(node):
+        out = {}
+        for src, dst, relation, seq in edges:
+            ways = {"call": [("callee", src, dst), ("caller", dst, src)], "define": [("parent_type", dst, src), ("child_method", src, dst)], "import": [("import", src, dst)]}[relation]
+            for kind, here, there in ways:
+                if here == node and there in known:
+                    out[order[kind], there] = min(seq, out.get((order[kind], there), seq))
+        return [(k, there) for (k, there), _ in sorted(out.items(), key=lambda x: (x[0][0], x[1], x[0][1]))]
+
+    seen, out = set(originals), []
+
+    def visit(node, level):
+        for k, other in around(node):
+            if len(originals) + len(out) >= cap:
+                return
+            if other not in seen:
+                seen.add(other)
+                out.append((other, k))
+                if k == 0 and level + 1 < depth:
+                    visit(other, level + 1)
+
+    for o in originals:
+        visit(o, 0)
+    return out
+
+
+def test_deep_expansion_equals_a_plain_walk(spark):
+    rng = random.Random(5)
+    names = [f"n{i:02}" for i in range(40)]
+    edges = [(rng.choice(names[:12]), rng.choice(names), rng.choice(["call", "call", "define", "import"])) for _ in range(200)]
+    es = edge_table(spark, edges)
+    rows = [tuple(r) for r in es.select("src", "dst", "relation", "seq").collect()]
+    ids, tops = names[:36], ["n03", "n30", "n07"]
+    top = spark.createDataFrame([(n, i + 1) for i, n in enumerate(tops)], "id string, rank int")
+    for depth, cap in ((2, 5), (2, 12), (3, 50)):
+        got = graph.expand_deep(top, es, spark.createDataFrame([(n,) for n in ids], "id string"), depth, cap).orderBy("rank").collect()
+        assert [r.id for r in got] == tops + [i for i, _ in plain_walk(rows, tops, set(ids), depth, cap)]
+
+
 def test_checks():
     with pytest.raises(errors.AppError):
         errors.check_range(0, 1, 5, "k")

@@ -72,6 +72,29 @@ def test_classes_and_actions(spark):
     assert [r.action for r in got] == ["delete", "index"]
 
 
+def test_handler_waits_for_a_burst_to_end(spark, tmp_path):
+    import time
+
+    calls, waits = [], []
+
+    class Engine:
+        def delete(self, paths):
+            calls.append(("delete", sorted(paths)))
+
+        def index_files(self, paths):
+            calls.append(("index", sorted(paths)))
+
+    there, gone = tmp_path / "a.py", tmp_path / "b.py"
+    there.write_text("x")
+    now = dt.datetime.fromtimestamp(time.time(), dt.timezone.utc)
+    rows = [(str(there), "create", now - dt.timedelta(seconds=3)), (str(there), "modify", now), (str(gone), "modify", now)]
+    apply = changes.handler(Engine(), gap=60, sleep=waits.append)
+    apply(spark.createDataFrame(rows, "path string, event string, ts timestamp"), 0)
+    assert calls == [("delete", [str(gone)]), ("index", [str(there)])] and 30 < waits[0] <= 60
+    apply(spark.createDataFrame([(str(there), "modify", now - dt.timedelta(hours=1))], "path string, event string, ts timestamp"), 1)
+    assert waits[1] == 0 and len(calls) == 3
+
+
 def test_directory_listing_differences(tmp_path):
     reader = changes._Reader(str(tmp_path))
     first, offset = reader.read(reader.initialOffset())
