@@ -176,13 +176,13 @@ def bm25_indexed(spark, sf_dir):
     return out.select("id", r(F.col("score")).alias("score"))
 
 
-@query(f"WITH {_BM} SELECT 0 AS query_id, d.doc_id AS id, round(coalesce(bm.score, 0), 5) AS score FROM documents d LEFT JOIN bm ON bm.id = d.doc_id WHERE d.doc_id % 7 = 3")
+@query(f"WITH {_BM} SELECT 0 AS query_id, d.doc_id AS id, round(coalesce(bm.score, 0), 5) AS score FROM documents d LEFT JOIN bm ON bm.id = d.doc_id WHERE d.doc_id IN (SELECT doc_id FROM labels)")
 def bm25_given_docs(spark, sf_dir):
-    """Scores of a list of documents; the list is every seventh one."""
+    """Scores of a list of documents: those of the labels."""
     c = chunks(spark, sf_dir)
     terms = lexical.query_terms(spark.createDataFrame([(0, QUERY)], "query_id int, text string"))
     stats = index.tokenized(c).select("id", "dl")
-    given = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).filter("id % 7 = 3")
+    given = c.select("id").join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
     out = lexical.bm25_docs(terms, index.postings(c, terms=TERMS), stats, index.corpus_stats(stats), given)
     return out.select("query_id", "id", r(F.col("score")).alias("score"))
 
@@ -531,10 +531,19 @@ def regex_boundaries(spark, sf_dir):
     return out.select("file_path", F.md5("content").alias("content_md5"), "start_line", "end_line", "chunk_type")
 
 
-@query("SELECT doc_id AS id, regexp_extract(split_part(text, chr(10), 1), '^[^ \\t(<{:\\[=]+', 0) AS name FROM documents WHERE regexp_matches(split_part(text, chr(10), 1), '^[^ \\t(<{:\\[=]+[ \\t(<{:\\[=]')")
+@query(
+    r"""WITH l AS (SELECT doc_id AS id, 'N' || CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '[^A-Za-z0-9]', '', 'g') ELSE regexp_replace(split_part(text, chr(10), 1), '[\s\p{Z}\x{0B}\x{85}]+$', '') END AS line FROM documents)
+SELECT id, CASE WHEN regexp_matches(line, '^[^ \t(<{:\[=]+[ \t(<{:\[=]') THEN regexp_extract(line, '^[^ \t(<{:\[=]+', 0) WHEN octet_length(encode(line)) <= 64 THEN line
+  WHEN id % 2 = 0 THEN substr(line, 1, 64) END AS name FROM l"""
+)
 def symbol_names(spark, sf_dir):
-    c = chunks(spark, sf_dir).withColumn("line", F.substring_index("content", "\n", 1)).filter(F.col("line").rlike(r"^[^ \t(<{:\[=]+[ \t(<{:\[=]"))
-    return c.select("id", lang.declaration_name(F.concat(F.lit("export async function "), "line")).alias("name"))
+    """Names up to a delimiter on the first line, and, for even ids, of letters and digits alone, cut at 64 bytes."""
+    first = F.substring_index("content", "\n", 1)
+    bare = F.regexp_replace("content", "[^A-Za-z0-9]", "")
+    c = chunks(spark, sf_dir).withColumn("line", F.concat(F.lit("N"), F.when(F.col("id") % 2 == 0, bare).otherwise(first)))
+    name = lang.declaration_name(F.concat(F.lit("export async function "), "line"))
+    odd_cut = (F.col("id") % 2 == 1) & ~lang.trimmed(F.col("line")).rlike(r"^[^ \t(<{:\[=]+[ \t(<{:\[=]") & (F.octet_length(lang.trimmed(F.col("line"))) > 64)
+    return c.select("id", F.when(~odd_cut, name).alias("name"))
 
 
 @query("SELECT doc_id AS id, substr(sha256(source || ':1:' || n_chars || ':' || text), 1, 32) AS chunk_id, substr(sha256(source || ':7'), 1, 16) AS parser_id FROM documents")
@@ -590,11 +599,112 @@ def delete_cascade(spark, sf_dir):
     return index.postings(kept).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
-@query("SELECT CASE WHEN doc_id % 7 = 0 THEN 'error' WHEN doc_id % 3 = 0 THEN 'indexed' ELSE 'skipped' END AS status, count(*)::BIGINT AS files, sum(n_chars)::BIGINT AS size FROM documents GROUP BY 1")
+@query(
+    "SELECT CASE WHEN doc_id % 21 = 0 THEN 'error' WHEN doc_id % 3 = 0 THEN 'indexed' ELSE 'skipped' END AS status, count(*)::BIGINT AS files, sum(CASE WHEN doc_id % 21 <> 0 AND doc_id % 3 = 0 THEN 1 + doc_id % 4 ELSE 0 END)::BIGINT AS chunks, "
+    "count(CASE WHEN doc_id % 21 = 0 THEN 1 END)::BIGINT AS errors FROM documents GROUP BY 1"
+)
 def index_metrics(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    status = F.when(F.col("doc_id") % 7 == 0, "error").when(F.col("doc_id") % 3 == 0, "indexed").otherwise("skipped")
-    return d.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("size"))
+    """Counters of an indexing run: files scanned, changed (every third), failed and cut into chunks, as the engine adds them up."""
+    from .plans.engine import Engine
+
+    files = chunks(spark, sf_dir).select("id", F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"))
+    todo = files.filter("id % 3 = 0")
+    failed = todo.filter("id % 21 = 0").select("path", F.lit("syntax error").alias("error"))
+    cut = todo.filter("id % 21 <> 0").select(F.col("path").alias("file_path"), F.explode(F.sequence(F.lit(0), (F.col("id") % 4).cast("int"))))
+    done = Engine._status(files, todo, failed, cut)
+    return done.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("chunks").alias("chunks"), F.count("error").alias("errors"))
+
+
+# sources on disk: written to the shared folder first, then read by the engine's own readers ----------------------------------
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: under the session's checkpoint folder, or on this machine in a local session."""
+    import tempfile
+    import uuid
+
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="lodestack-")
+    return f"{where.rstrip('/')}/catalog-{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_T}, {_P} SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS tf FROM p JOIN documents d ON d.doc_id = p.id WHERE source NOT IN ('src0', 'src7') AND doc_id % 6 <> 4 GROUP BY term")
+def store_cycle(spark, sf_dir):
+    """Chunks written to a store, one file's replaced and two files' deleted; then what its index holds."""
+    from .sources.store import ChunkStore
+
+    c = chunks(spark, sf_dir)
+    none = F.create_map().cast("map<string,string>")
+    rows = c.select(F.col("id").cast("string").alias("id"), "file_path", "language", "content", "chunk_type", F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), none.alias("metadata"), F.array().cast("array<string>").alias("dependencies"))
+    store = ChunkStore(spark, scratch(spark, "store"), buckets=4)
+    store.upsert(rows.filter("file_path <> 'src1'").unionByName(rows.filter("file_path = 'src1'").withColumn("content", F.lit("stale words"))))
+    store.upsert(rows.filter("chunk_type <> 'comment'"), rows.select("file_path"))  # every file again, now without its comments
+    store.delete_files(spark.createDataFrame([("src0",), ("src7",)], "file_path string"))
+    return store.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
+_FILES = """f AS (SELECT doc_id AS id, text, CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.unknown' WHEN 3 THEN '.md' ELSE '.rs' END AS ext,
+  CASE doc_id % 7 WHEN 0 THEN 'node_modules/' WHEN 1 THEN '.git/' WHEN 2 THEN 'a/b/' ELSE '' END AS dir FROM documents)"""
+
+
+@query(f"WITH {_FILES} SELECT dir || 'f' || id || ext AS path, md5(text) AS md5, CASE ext WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' WHEN '.md' THEN 'markdown' ELSE 'rust' END AS language FROM f WHERE ext <> '.unknown' AND dir NOT IN ('node_modules/', '.git/')")
+def file_scan(spark, sf_dir):
+    """A tree of files with known, unknown and left-out places, scanned from disk."""
+    from .sources import files
+
+    root = scratch(spark, "tree").removeprefix("file://")
+    kind = F.element_at(F.array(*[F.lit(x) for x in (".py", ".go", ".unknown", ".md", ".rs")]), (F.col("id") % 5 + 1).cast("int"))
+    folder = F.coalesce(F.get(F.array(*[F.lit(x) for x in ("node_modules/", ".git/", "a/b/")]), (F.col("id") % 7).cast("int")), F.lit(""))
+    named = chunks(spark, sf_dir).select(F.concat(F.lit(f"{root}/"), folder, F.lit("f"), F.col("id").cast("string"), kind).alias("path"), "content")
+
+    def write(rows) -> None:
+        import os
+
+        for row in rows:
+            os.makedirs(os.path.dirname(row.path), exist_ok=True)
+            with open(row.path, "w", encoding="utf-8", newline="") as f:
+                f.write(row.content or "")
+
+    named.foreachPartition(write)
+    return files.scan(spark, root).select(F.substring("path", len(root) + 2, 1000).alias("path"), "md5", "language")
+
+
+_GO = (
+    ("import", "import (\n\t\"fmt\"\n\t\"m{a}/x\"\n)", 3, 6, {"imports": "fmt,m{a}/x"}),
+    ("class", "type T{id} struct {{\n\tn int\n}}", 8, 10, {"name": "T{id}", "types": "T{id}"}),
+    ("function", "func F{id}(a int) int {{\n\treturn G{b}(a) + p.H{a}(a)\n}}", 13, 15, {"name": "F{id}", "calls": "G{b},p.H{a}"}),
+    ("method", "func (t *T{id}) M{b}() {{ fmt.Println(t.n) }}", 17, 17, {"receiver": "T{id}", "name": "M{b}", "calls": "fmt.Println"}),
+)
+
+
+def _go_text(template: str, quote: str) -> str:
+    """A template over id, a (id % 3) and b (id % 7) as an SQL concatenation."""
+    parts = template.replace("{{", "\x01").replace("}}", "\x02")
+    for name, value in (("{id}", "doc_id"), ("{a}", "doc_id % 3"), ("{b}", "doc_id % 7")):
+        parts = parts.replace(name, f"' || CAST({value} AS {quote}) || '")
+    text_ = parts.replace("\x01", "{").replace("\x02", "}")
+    for c, code in (("\n", 10), ("\t", 9)):
+        text_ = text_.replace(c, f"' || chr({code}) || '")
+    return f"('{text_}')"
+
+
+def _go_row(chunk_type: str, content: str, start: int, end: int, meta: dict, quote: str) -> str:
+    at = lambda k: _go_text(meta[k], quote) if k in meta else f"CAST(NULL AS {quote})"
+    return (
+        f"SELECT 'f' || CAST(doc_id AS {quote}) || '.go' AS file_path, '{chunk_type}' AS chunk_type, md5({_go_text(content, quote)}) AS content_md5, CAST({start} AS INT) AS start_line, CAST({end} AS INT) AS end_line, "
+        f"{at('name')} AS name, {at('calls')} AS calls, {at('imports')} AS imports, {at('types')} AS types, {at('receiver')} AS receiver FROM documents"
+    )
+
+
+@query(" UNION ALL ".join(_go_row(*x, "VARCHAR") for x in _GO))
+def go_declarations(spark, sf_dir):
+    """Import, type, function and method chunks of generated Go files, with names, callees, imports and receivers."""
+    decl = [x[1] for x in _GO]
+    source = "package p\n\n" + decl[0] + "\n\n" + decl[1] + "\n\n// F{id} calls.\n" + decl[2] + "\n\n" + decl[3] + "\n"
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").select(F.expr("'f' || CAST(doc_id AS STRING) || '.go'").alias("path"), F.encode(F.expr(_go_text(source, "STRING")), "UTF-8").alias("content"))
+    at = lambda k: F.element_at("metadata", F.lit(k)).alias(k)
+    return parsers.parse(d).select("file_path", "chunk_type", F.md5("content").alias("content_md5"), "start_line", "end_line", *[at(k) for k in ("name", "calls", "imports", "types", "receiver")])
 
 
 _OPS = "['CREATE', 'WRITE', 'REMOVE', 'RENAME', 'CREATE|WRITE', 'CHMOD'][(event_id % 6 + 1)::INT]"
