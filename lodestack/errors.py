@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-VALIDATION, NOT_FOUND, INTERNAL, EXTERNAL = "VALIDATION", "NOT_FOUND", "INTERNAL", "EXTERNAL"
+VALIDATION, NOT_FOUND, INTERNAL, EXTERNAL, CONFLICT = "VALIDATION", "NOT_FOUND", "INTERNAL", "EXTERNAL", "CONFLICT"
 
 
 class AppError(Exception):
@@ -39,6 +39,10 @@ def not_found(message: str) -> AppError:
     return AppError(NOT_FOUND, message)
 
 
+def conflict(message: str) -> AppError:
+    return AppError(CONFLICT, message)
+
+
 def check_directory(path: str) -> str:
     if not path:
         raise validation("path must not be empty")

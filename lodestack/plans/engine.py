@@ -97,7 +97,6 @@ class Engine:
             fresh = done.select("path", "md5", "mtime")
             manifest = self.store.manifest().join(fresh.select("path"), "path", "left_anti").unionByName(fresh)
             self.store.write_single("manifest", manifest)
-            self._write_graph()
             return self.store.single("status", STATUS)
         finally:
             scanned.unpersist()
@@ -110,29 +109,33 @@ class Engine:
         state = F.when(F.col("problem").isNotNull(), "error").when(F.col("new"), "indexed").otherwise("skipped")
         return out.select("path", state.alias("status"), F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"), F.col("problem").alias("error"))
 
-    def _write_graph(self) -> None:
+    def _current_graph(self) -> None:
+        """Build the graph where chunks have changed since; many writes in a row cost one build, at the next use."""
+        state = self.store.state()
+        if self.store.made_of("edges") == state:
+            return
         chunks = self.store.chunks()
-        ns = graph.nodes(chunks)
-        self.store.write_single("nodes", ns)
-        self.store.write_single("edges", graph.edges(chunks, self.nodes()))
+        self.store.write_single("nodes", graph.nodes(chunks), state)
+        self.store.write_single("edges", graph.edges(chunks, self.store.single("nodes", NODES)), state)
 
     def nodes(self) -> DataFrame:
+        self._current_graph()
         return self.store.single("nodes", NODES)
 
     def edges(self) -> DataFrame:
+        self._current_graph()
         return self.store.single("edges", EDGES)
 
     def delete(self, paths: list[str]) -> None:
         """Remove files from every table."""
         self.store.delete_files(self.spark.createDataFrame([(p,) for p in paths], "file_path string"))
-        self._write_graph()
 
     def retrieve(self, text: str, max_results: int = 5, language: str = "", expand: bool = True, as_of: float | None = None) -> DataFrame:
         """Ranked results of a question."""
         check_non_empty(text, "query")
         c = self.config
         return retrieve.retrieve(
-            self.store.chunks(), self.store.postings(), self.store.docs(), self.edges(), retrieve.Query(text, max_results, language, expand), self.embedder.embed(text) if c.hybrid else None,
+            self.store.chunks(), self.store.postings(), self.store.docs(), self.edges() if expand else None, retrieve.Query(text, max_results, language, expand), self.embedder.embed(text) if c.hybrid else None,
             c.fusion, c.vector_weight, c.max_per_file, self.store.manifest(), as_of, c.bm25_k1, c.bm25_b,
         )
 

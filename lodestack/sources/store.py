@@ -1,22 +1,28 @@
-"""Chunk store on Parquet: versioned buckets behind a pointer file.
+"""Chunk store on Parquet: versioned buckets behind numbered pointer files.
 
 Rows live in hash buckets of their file path. A write builds new versions of the touched buckets only, next to the old ones,
-and then replaces the pointer (a small JSON file) by a rename: readers see the old or the new state, never a mix. Postings
-and document statistics are derived per bucket in the same write, so the inverted index never drifts from the chunks.
+and then adds the next pointer (a small JSON file) by a rename that never replaces a file: readers see the old or the new
+state, never a mix, and of two writers that started from one state the second gets a conflict and can try again. ``vacuum``
+removes what no recent pointer names. Postings and document statistics are derived per bucket in the same write, so the
+inverted index never drifts from the chunks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import not_found, validation
+from ..errors import conflict, not_found, validation
 from ..functions import text
 from ..schema import CHUNKS, MANIFEST, POSTINGS
 
+POINTERS = "pointers"
+VERSIONS = ("v-", "manifest-", "status-", "nodes-", "edges-")
 TABLES = {"chunks": CHUNKS, "postings": POSTINGS + ", file_path string", "docs": "id string, dl bigint, preview string, file_path string"}
 
 
@@ -37,28 +43,70 @@ class ChunkStore:
             self.buckets = head["buckets"]
 
     # pointer -------------------------------------------------------------------------------------------------------------
-    def _load(self) -> dict | None:
-        at = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/CURRENT").collect()))
+    def _pointers(self) -> list[int]:
+        at = self._path(f"{self.path}/{POINTERS}")
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def _pointer(self, n: int):
+        return self._path(f"{self.path}/{POINTERS}/{n:012d}.json")
+
+    def _load(self, n: int | None = None) -> dict | None:
+        if n is None:
+            there = self._pointers()
+            if not there:
+                return None
+            n = there[-1]
+        stream = self._fs.open(self._pointer(n))
+        try:
+            raw = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(raw) | {"n": n}
 
     def _save(self, head: dict) -> None:
-        part = self._path(f"{self.path}/CURRENT-{uuid.uuid4().hex}")
+        """Add the pointer that follows the one ``head`` was loaded from; a conflict where another writer was first."""
+        head = head | {"n": head.get("n", 0) + 1}
+        part = self._path(f"{self.path}/{POINTERS}/part-{uuid.uuid4().hex}")
         out = self._fs.create(part, True)
         out.write(bytearray(json.dumps(head).encode()))
         out.close()
         sc, jvm = self.spark.sparkContext, self.spark.sparkContext._jvm
-        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-        how = sc._gateway.new_array(rename, 1)
-        how[0] = rename.OVERWRITE  # one step: there is always a pointer
+        how = sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        how[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration())
-        context.rename(part, self._path(f"{self.path}/CURRENT"), how)
+        try:
+            context.rename(part, self._pointer(head["n"]), how)
+        except Py4JJavaError as e:
+            self._fs.delete(part, False)
+            if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            raise conflict(f"another writer made version {head['n']} of the collection") from e
+
+    def state(self) -> str:
+        """A name of the chunks' state; equal states have equal chunks."""
+        return hashlib.md5(json.dumps(self._load()["versions"], sort_keys=True).encode()).hexdigest()
+
+    def vacuum(self, keep: int = 10) -> int:
+        """Delete versions and pointers that none of the ``keep`` last pointers names; returns how many. Not while others write."""
+        numbers = self._pointers()
+        used = set()
+        for n in numbers[-max(1, keep) :]:
+            head = self._load(n)
+            used |= set(head["versions"].values()) | set(head["single"].values())
+        gone = [self._pointer(n) for n in numbers[: -max(1, keep)]]
+        for f in self._fs.listStatus(self._path(self.path)):
+            name = f.getPath().getName()
+            if f.isDirectory() and any(name.startswith(x) for x in VERSIONS) and name not in used:
+                gone.append(f.getPath())
+        for at in gone:
+            self._fs.delete(at, True)
+        return len(gone)
 
     # reads ---------------------------------------------------------------------------------------------------------------
-    def _read(self, table: str, buckets: list[str] | None = None) -> DataFrame:
-        head = self._load()
-        picked = [f"{self.path}/{v}/{table}/bucket={b}" for b, v in sorted(head["versions"].items()) if buckets is None or b in buckets]
+    def _read(self, table: str, buckets: list[str] | None = None, versions: dict | None = None) -> DataFrame:
+        versions = self._load()["versions"] if versions is None else versions
+        picked = [f"{self.path}/{v}/{table}/bucket={b}" for b, v in sorted(versions.items()) if buckets is None or b in buckets]
         live = [p for p in picked if self._fs.exists(self._path(p))]
         schema = TABLES[table]
         return self.spark.read.schema(schema).parquet(*live) if live else self.spark.createDataFrame([], schema)
@@ -94,11 +142,12 @@ class ChunkStore:
     def _replace(self, new: DataFrame | None, paths: DataFrame) -> None:
         """Replace all rows of the files in ``paths`` by ``new``."""
         head = self._load()
+        held = head["versions"]
         gone = paths.select("file_path").distinct()
         touched = [str(r.bucket) for r in gone.select(self._bucket().alias("bucket")).distinct().collect()]  # at most the number of buckets
         if not touched:
             return
-        kept = self._read("chunks", touched).join(gone, "file_path", "left_anti")
+        kept = self._read("chunks", touched, held).join(gone, "file_path", "left_anti")
         cols = [c.split(" ")[0] for c in CHUNKS.split(", ")]
         if new is not None:
             if "embedding" not in new.columns:
@@ -126,13 +175,19 @@ class ChunkStore:
         self._replace(None, paths)
         self.write_single("manifest", self.manifest().join(paths.select(F.col("file_path").alias("path")), "path", "left_anti"))
 
-    def write_single(self, name: str, rows: DataFrame) -> None:
+    def write_single(self, name: str, rows: DataFrame, of: str | None = None) -> None:
+        """Write a table that is kept as a whole; ``of`` notes the state of the chunks that it was made from."""
         version = f"{name}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{version}")
         head = self._load()
         head["single"][name] = version
+        if of is not None:
+            head.setdefault("made_of", {})[name] = of
         self._save(head)
 
+    def made_of(self, name: str) -> str | None:
+        return self._load().get("made_of", {}).get(name)
+
     def clear(self) -> None:
         head = self._load()
-        self._save(head | {"versions": {}, "single": {}})
+        self._save(head | {"versions": {}, "single": {}, "made_of": {}})

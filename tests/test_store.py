@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.errors import AppError
+from lodestack.errors import CONFLICT, AppError, is_kind
 from lodestack.sources.store import ChunkStore
 
 
@@ -30,3 +30,20 @@ def test_versions(spark, tmp_path):
         ChunkStore(spark, str(tmp_path / "s"), dim=5)
     store.clear()
     assert store.chunks().count() == 0
+
+
+def test_two_writers_conflict_and_vacuum(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"), buckets=2)
+    head = store._load()
+    store.upsert(rows(spark, ("1", "a.py", "one")))
+    with pytest.raises(AppError) as e:
+        store._save(head)  # a writer that started from the state before
+    assert is_kind(e.value, CONFLICT)
+    state = store.state()
+    for n in range(5):
+        store.upsert(rows(spark, ("1", "a.py", f"text {n}")))
+    assert store.state() != state and store.vacuum(keep=2) > 0
+    assert [r.content for r in store.chunks().collect()] == ["text 4"] and len(store._pointers()) == 2
+    assert sorted(p.name[:2] for p in (tmp_path / "s").iterdir() if p.name.startswith("v-")) == ["v-", "v-"]
+    again = ChunkStore(spark, str(tmp_path / "s"), buckets=9)
+    assert again.buckets == 2 and again.chunks().count() == 1
