@@ -39,18 +39,36 @@ def word_count(text):
     return F.when(spaced == "", F.lit(0)).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1).cast("bigint")
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3) -> DataFrame:
-    """(source, n_docs, source_size, target) from (source, n_docs, source_size); one row per source, so windows are narrow."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1)
-    every = Window.partitionBy()
-    d = sizes.withColumn("w", pick).withColumn("limit", F.col("source_size") * F.lit(float(cap)))
-    d = d.withColumn("total", F.sum("source_size").over(every)).withColumn("all_w", F.sum("w").over(every)).withColumn("fill", F.col("limit") / F.col("w"))
-    before = Window.orderBy("fill", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("full", F.coalesce(F.sum("limit").over(before), F.lit(0.0))).withColumn("gone", F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    d = d.withColumn("level", (F.col("total") - F.col("full")) / (F.col("all_w") - F.col("gone")))
-    level = F.min_by("level", F.when(F.col("level") <= F.col("fill"), F.col("fill"))).over(every)  # the first source that isn't full sets it
-    return d.select("source", "n_docs", "source_size", F.least("limit", F.coalesce(level, F.lit(float("inf"))) * F.col("w")).alias("target"))
+def _weighted(sizes: DataFrame, weights: tuple[float, ...], work: Workspace, part_rows: int) -> DataFrame:
+    """``sizes`` with the weight ``w`` of each source by its place in order: ranges of at most about ``part_rows`` sources are
+    numbered on their own, and the driver adds up the ranges' counts only."""
+    order = F.col("source").asc_nulls_last()
+    sizes = work.table(sizes, "sizes")
+    parts = max(1, ceil(sizes.count() / part_rows))
+    dealt = work.table(sizes.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()), "ranges")
+    before, offset = {}, 0
+    for r in sorted(dealt.groupBy("part").count().collect()):
+        before[r.part], offset = offset, offset + r["count"]
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    first = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("part")] if before else F.lit(0)
+    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((place + first) % len(weights) + 1).cast("int"))
+    return work.table(dealt.withColumn("w", pick).drop("part"), "weighted")
+
+
+def targets(sizes: DataFrame, work: Workspace, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, part_rows: int = 50_000) -> DataFrame:
+    """(source, n_docs, source_size, target) from (source, n_docs, source_size), one row per source.
+
+    Water filling by rounds: sources whose limit lies under the level of the others are full, which raises the level; a round
+    is one sum over the sources, and the rounds end when no further source is full.
+    """
+    d = _weighted(sizes, weights, work, part_rows).withColumn("limit", F.col("source_size") * F.lit(float(cap)))
+    level, n_full = 0.0, -1
+    while True:
+        full = F.col("limit") < F.lit(level) * F.col("w")
+        r = d.agg(F.sum("source_size").alias("total"), F.count(F.when(full, 1)).alias("n"), F.sum(F.when(full, F.col("limit"))).alias("gone"), F.sum(F.when(~full, F.col("w"))).alias("free")).first()
+        if r.n == n_full or not r.free:
+            return d.select("source", "n_docs", "source_size", F.least("limit", F.lit(level) * F.col("w")).alias("target"))
+        level, n_full = (float(r.total) - (r.gone or 0.0)) / r.free, r.n
 
 
 def _round(bucket: int):
@@ -101,7 +119,7 @@ def mix(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...] = (1,
     names = ["doc_id", "key", "other", "source", "size"]
     sized = sized.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     sized = work.table(sized.select(*names, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("ord")), "sized")
-    per = work.table(targets(sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")), weights, cap), "targets")
+    per = work.table(targets(sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")), work, weights, cap), "targets")
     n_sources, most = per.agg(F.count(F.lit(1)), F.max("n_docs")).first()
     side = F.broadcast(per) if n_sources <= BROADCAST_SOURCES else per
     rows = sized.alias("d").join(side.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.n_docs", "s.source_size", "s.target")
@@ -120,7 +138,7 @@ def mix(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...] = (1,
         if n <= 1:
             break
         level, n = level.filter(open_), ceil(n / bucket)
-    for name in ("sized", "targets"):
+    for name in ("sized", "sizes", "ranges", "weighted", "targets"):
         work.drop(name)
     return done.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "key", "other", "source", "size", "source_size", "target", (F.col("base") + F.col("p")).cast("bigint").alias("copies"))
 

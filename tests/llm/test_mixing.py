@@ -55,6 +55,17 @@ def test_targets_and_rounding(spark, bucket):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+@pytest.mark.parametrize("cap", [3, 1.2])
+def test_targets_of_many_sources(spark, cap):
+    from lodestack.llm.runtime import Workspace
+
+    sizes = {f"s{i * 7919 % 1000:03}": (i * i * 31 + 7) % 4000 for i in range(400)} | {None: 50, "": 0, "é": 10**9, "🙂": 1}
+    df = spark.createDataFrame([(s, 1, n) for s, n in sizes.items()], "source string, n_docs long, source_size long")
+    got = mixing.targets(df, Workspace(spark, "t"), cap=cap, part_rows=37).collect()
+    want = fill(sizes, cap=cap)
+    assert {r.source: r.target for r in got} == {s: pytest.approx(t) for s, t in want.items()} and len(got) == len(sizes)
+
+
 def test_expectation_of_a_document(spark):
     df = spark.createDataFrame([(i, "w " * (1 + i % 7), "a" if i % 4 else "b") for i in range(4000)], "doc_id long, text string, source string")
     got = mixing.report(spark, df, weights=(1, 1)).collect()
