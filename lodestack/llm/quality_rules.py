@@ -1,7 +1,9 @@
 """Quality rules: a threshold table compiled into one projection of built-in functions (no Python on executors).
 
 Edge cases: a null or blank text has no words and fails the length rule; ratios with a zero denominator count as 0;
-lines without a word are ignored; extra columns (also ones named like a metric) pass through unharmed in ``apply``.
+lines without a word are ignored; very long texts are measured whole, in memory linear in their length; rows are judged one by
+one, so repeated rows and rows that share an id get a verdict each, and ties cannot occur (a value at a threshold passes); an
+empty table gives an empty one; extra columns (also ones named like a metric) pass through unharmed in ``apply``.
 """
 
 from __future__ import annotations

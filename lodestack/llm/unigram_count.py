@@ -7,7 +7,9 @@ pieces ending at each place, longest first. The dynamic programme carries the be
 a path only by a strictly better one: at equal scores the piece that starts first wins, as in the tokenizer. A character
 without a piece of its own may be unknown at the lowest score less 10, and then counts its UTF-8 bytes (byte fallback).
 
-Null or empty text has 0 tokens. Texts are counted whole. Counts of short segments are kept in a bounded cache.
+Null or empty text has 0 tokens. Texts are counted whole, however long, segment by segment. Repeated rows get equal counts, an
+empty table gives an empty one, and extra columns pass through, but for ``n_tokens``, which is replaced. Counts of short
+segments are kept in a bounded cache.
 """
 
 from __future__ import annotations
