@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -14,6 +15,9 @@ DEFAULTS = {
 }
 
 
+SPREAD_BYTES = 1 << 30
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Apply the defaults that can be set on a running session."""
     for k, v in DEFAULTS.items():
@@ -22,9 +26,14 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows by ``key`` where a scan has fewer partitions than the session has cores (one small file, one row group).
+    """Deal rows by ``key`` where a small scan has fewer partitions than the session has cores (one small file, one row group).
 
-    Scans of real size have more splits than cores and stay as they are, without a shuffle.
+    Scans of more than ``SPREAD_BYTES`` stay as they are, without a shuffle, whatever the number of cores. Rows without a key go by
+    their other columns, so that they don't share a task.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    rest = [F.col(c) for c in df.columns if c != key]
+    return df.repartition(cores, F.when(F.col(key).isNull(), F.xxhash64(*rest)).otherwise(F.xxhash64(key)) if rest else F.col(key))

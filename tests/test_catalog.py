@@ -54,9 +54,9 @@ def test_entry_and_names(spark):
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == WITHOUT_SQL
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/check_s"), reason="no large tables here")
-def test_plans_push_down_and_avoid_shuffles(spark):
-    big = "/root/testdata/check_s"
+def test_plans_push_down_and_avoid_shuffles(spark, sf, tmp_path):
+    big = str(tmp_path)
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(16).write.parquet(f"{big}/documents.parquet")  # more splits than cores
     plan = catalog.index.doc_stats(catalog.chunks(spark, big))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     top = catalog.lexical.topk(catalog.lexical.bm25_scan(catalog.chunks(spark, big), catalog.QUERY), 5)._jdf.queryExecution().executedPlan().toString()
