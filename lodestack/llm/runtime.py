@@ -40,6 +40,18 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+BATCH_BYTES = 4 << 20
+DEFAULT_BATCHES = "67108864b"  # Spark's own value
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of ``BATCH_BYTES``, unless the session sets its own size: a batch of long texts is held
+    several times over, in the executor's JVM and in its Python workers."""
+    if spark.conf.get(_BATCHES) == DEFAULT_BATCHES:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 _open: list[list[Workspace]] = []
 
 
@@ -62,6 +74,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/lodestack-{name}-{uuid.uuid4().hex}"
         if _open:
@@ -83,6 +96,7 @@ class Workspace:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A whole table; one that comes as fewer splits than there are cores is dealt out by its id."""
+    small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return spread(df, df.columns[0])
 
