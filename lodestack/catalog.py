@@ -357,7 +357,14 @@ def prompt_render(spark, sf_dir):
     return prompt.generate(rows, QUERY, prompt.DEFAULT_TEMPLATE, 8192, model="m", generated_at=F.lit(AS_OF).cast("timestamp"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_TOP}, mc AS MATERIALIZED (SELECT id, round(relevance, 6) AS rel, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY round(relevance, 6) DESC, id) AS n FROM re LEFT JOIN embeddings ON vec_id = id),
+sim AS MATERIALIZED (SELECT a.n AS a, b.n AS b, coalesce(list_cosine_similarity(a.v, b.v), 0) AS s FROM mc a, mc b),
+rec AS (SELECT 0 AS step, n, rel, 0::DOUBLE AS near, 0 AS rank FROM mc UNION ALL
+ SELECT step + 1, o.n, rel, greatest(near, s), CASE WHEN o.n = best THEN step + 1 ELSE rank END
+ FROM (SELECT *, first_value(n) OVER (ORDER BY rank > 0, 0.7::DOUBLE * rel - (1 - 0.7::DOUBLE) * near DESC, n) AS best FROM rec WHERE step < (SELECT count(*) FROM mc)) o JOIN sim ON sim.a = best AND sim.b = o.n)
+SELECT id, rec.rel AS relevance_score, rank::INT AS mmr_rank FROM rec JOIN mc USING (n) WHERE step = (SELECT count(*) FROM mc)"""
+)
 def mmr_select(spark, sf_dir):
     rows = ranked_chunks(spark, sf_dir).select("id", "relevance_score").withColumn("query_id", F.lit(0))
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -472,11 +479,22 @@ def expand_depth1(spark, sf_dir):
     return graph.expand(top, es, ns.select("id")).withColumn("score", r(F.col("score"), 4))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_X}, nx AS MATERIALIZED (SELECT o, id, c, seq FROM nb QUALIFY row_number() OVER (PARTITION BY o, id ORDER BY c, seq) = 1),
+kids AS MATERIALIZED (SELECT o, list({{'id': id, 'c': c}} ORDER BY c, seq, id) AS found FROM nx GROUP BY o),
+d1 AS MATERIALIZED (SELECT nx.id, c, row_number() OVER (ORDER BY rank, c, seq, nx.id) AS n FROM nx JOIN orig ON o = orig.id),
+rec AS (SELECT 0 AS n, [{{'id': id, 'c': -1}} FOR id IN (SELECT list(id ORDER BY rank) FROM orig)] AS seen UNION ALL
+ SELECT rec.n + 1, CASE WHEN len(list_filter(seen, lambda x: x.id = d1.id)) > 0 THEN seen
+  ELSE seen || [{{'id': d1.id, 'c': d1.c}}] || CASE WHEN d1.c = 0 THEN list_filter(coalesce(found, []), lambda y: y.id <> d1.id AND NOT list_contains(list_transform(seen, lambda x: x.id), y.id)) ELSE [] END END
+ FROM rec JOIN d1 ON d1.n = rec.n + 1 LEFT JOIN kids ON kids.o = d1.id),
+walk AS (SELECT unnest(seen) AS x, generate_subscripts(seen, 1) AS rank FROM (SELECT seen FROM rec ORDER BY n DESC LIMIT 1))
+SELECT x.id AS id, rank::INT AS rank, CASE WHEN x.c >= 0 THEN [0.5, 0.4, 0.55, 0.55, 0.3][x.c + 1]::DOUBLE END AS score,
+ CASE WHEN x.c >= 0 THEN 'expansion:' || ['callee', 'caller', 'parent_type', 'child_method', 'import'][x.c + 1] END AS source FROM walk WHERE rank <= 50"""
+)
 def expand_depth2(spark, sf_dir):
     es, ns = edge_list(spark, sf_dir)
     top = fusion.ranked(keyword_list(spark, sf_dir, K)).select("id", "rank")
-    return graph.expand_deep(top, es, ns.select("id"), 2)
+    return graph.expand_deep(top, es, ns.select("id"), 2).withColumn("score", r(F.col("score"), 4))
 
 
 @query(

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from lodestack import catalog
 
-WITHOUT_SQL = {"mmr_select", "expand_depth2", "chunk_split"}
+WITHOUT_SQL = {"chunk_split"}
 
 
 @pytest.fixture(scope="module")
