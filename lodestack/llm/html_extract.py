@@ -3,14 +3,14 @@
 One pass of a tokenizer turns a page into blocks (runs of text between block-level tags), each in an element of the page's
 tree. Text of menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments is known by
 element, role or class and never becomes a block. Class and id don't count for an element that holds most of the page's
-unlinked text (if it is named for text by others, such as comments, only where no other text is left) or the only h1, nor
+unlinked text (if it is named for text by others, such as comments, or as a footer or menu, only where no other text is left) or the only h1, nor
 where nothing else is left; an article element is judged by undivided names only.
 
 A tag path goes from the root to the block's element; containers without text of their own go by element and class, so that
 the paragraphs of two columns have different paths. For every path the text length and the punctuation of all its blocks are
 aggregated; the ratios per block are smoothed over neighbouring blocks, fused by their geometric mean, and paths above a
 threshold are content. The deepest element that holds all content blocks and their headings (the article) then gives the
-text: of a page's article or main element all blocks, so short paragraphs and headings before, between and after long ones
+text: of a page's article or main element (also by role) all blocks, so short paragraphs and headings before, between and after long ones
 stay; where no such element marks the article, those from its first to its last block whose path passes the threshold without
 its neighbours' help, and at both ends only what shares a container with such a block, or a heading in front. Content outside
 all article and main elements counts only where those don't hold nine tenths of it.
@@ -50,7 +50,7 @@ MARKED = {"article", "main"}
 HOLDERS = set("article main section div body html center".split())
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NEVER = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb "
+    "ad ads adv advert adverts advertisement advertising adsbygoogle taboola outbrain sponsor sponsored promo promotion nav navbar navigation menu breadcrumb "
     "breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter "
     "subscribe subscription share sharing social related recommended recommendations comment comments commentlist disqus reply "
     "replies respond login signin signup register search toolbar pagination pager copyright legal disclaimer alert banner "
@@ -58,10 +58,12 @@ NEVER = set(
 )
 # Of these, words for text by others that can be longer than the article; the rest name parts of a layout, or topics.
 OTHERS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal "
+    "ad ads adv advert adverts advertisement advertising adsbygoogle taboola outbrain sponsor sponsored promo promotion cookie cookies consent gdpr popup modal "
     "overlay newsletter subscribe subscription related recommended recommendations comment comments commentlist disqus reply replies "
     "respond disclaimer copyright".split()
 )
+# Parts of a page's frame, when one of these is the whole name: never the article where there is other text.
+FRAME = set("footer nav navbar navigation breadcrumb breadcrumbs pagination pager sitemap".split())
 AROUND = set("has with no without".split())
 TOPICS = set("category tag topic".split())  # category-legal, tag-search: what an article is about
 # End tags that a start tag implies: the start tag, and the open elements it closes up to the scope.
@@ -186,16 +188,19 @@ class Named:
 
     words: dict[int, set[str]] = field(default_factory=dict)
     around: dict[int, int] = field(default_factory=dict)  # the marked element around each, 0 for none
-    others: dict[int, bool] = field(default_factory=dict)  # whether it or one around it is named for text by others
+    others: dict[int, bool] = field(default_factory=dict)  # whether it or one around it is apart
+    apart: set[int] = field(default_factory=set)  # named for text by others or for the page's frame
     chars: dict[int, int] = field(default_factory=dict)
     titled: set[int] = field(default_factory=set)  # with an h1 inside
     total: int = 0
-    plain: int = 0  # text besides headings that is in no element named for text by others
+    plain: int = 0  # text besides headings that is in no element apart
     title: bool = False  # an h1 outside all of them
 
-    def add(self, number: int, words: set[str], around: int) -> None:
+    def add(self, number: int, words: set[str], around: int, frame: bool) -> None:
         self.words[number], self.around[number], self.chars[number] = words, around, 0
-        self.others[number] = bool(words & OTHERS) or self.others.get(around, False)
+        if frame or words & OTHERS:
+            self.apart.add(number)
+        self.others[number] = number in self.apart or self.others.get(around, False)
 
     def wrappers(self) -> set[int]:
         """Those that hold most of the page's text or its only h1, and so the article."""
@@ -205,7 +210,7 @@ class Named:
                 chars[self.around[i]] += chars[i]
                 if i in titled:
                     titled.add(self.around[i])
-        most = {i for i, c in chars.items() if 2 * c > self.total and not (self.plain and self.words[i] & OTHERS)}
+        most = {i for i, c in chars.items() if 2 * c > self.total and not (self.plain and i in self.apart)}
         return most | (set() if self.title else titled)
 
 
@@ -289,11 +294,11 @@ def _scan(page: str, named: Named, spared: set[int]) -> tuple[list[Block], list[
             if name not in INLINE:
                 flush()
                 owners[-1].stop = len(out)
+                marked -= owners[-1].name in MARKED
             tags.pop()
             links -= name == "a"
             titles -= name == "h1"
             headings -= name in HEADINGS
-            marked -= name in MARKED
             skips.pop(), marks.pop(), owners.pop()
 
     def text(raw: str) -> None:
@@ -368,18 +373,19 @@ def _scan(page: str, named: Named, spared: set[int]) -> tuple[list[Block], list[
         mark = marks[-1] if marks else 0
         held = {"form"} if name in FORMS else _named(a, name == "article" and not tags.has("article"))
         if held and not skip and number not in spared:
-            named.add(number, held, mark)
+            named.add(number, held, mark, bool(_named(a, True) & FRAME))
             mark = number
         owner = owners[-1] if owners else None
         if name not in INLINE:
-            owner = Element(name, owner, f"{name}.{a.get('class', '')}#{a.get('id', '')}", len(out))
+            kind = "main" if a.get("role", "").lower() == "main" else name
+            owner = Element(kind, owner, f"{kind}.{a.get('class', '')}#{a.get('id', '')}", len(out))
             nodes.append(owner)
+            marked += kind in MARKED
         tags.push(name)
         skips.append(skip), marks.append(mark), owners.append(owner)
         links += name == "a"
         titles += name == "h1"
         headings += name in HEADINGS
-        marked += name in MARKED
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else n

@@ -78,6 +78,17 @@ def test_long_text_by_others_stays_out():
     assert html_extract.extract(page).split("\n") == ["Title", squash(LONG)]
 
 
+def test_a_main_element_by_role_and_the_frame_of_a_short_page():
+    one = squash(LONG)
+    page = f'<body><div role="main"><h1>Title</h1><p>{LONG}</p><div>short</div></div><div role="complementary"><p>{LONG}</p></div></body>'
+    assert html_extract.extract(page).split("\n") == ["Title", one, "short"]
+    for name in ("footer", "nav", "pager"):
+        page = f'<body><div id="content"><h1>T</h1><p>Short one, here.</p></div><div id="{name}">Copyright, all rights.</div></body>'
+        assert html_extract.extract(page).split("\n") == ["T", "Short one, here."]
+    assert html_extract.extract(f'<body><div class="footer"><h1>Title</h1><p>{LONG}</p></div></body>').split("\n") == ["Title", one]
+    assert html_extract.extract(f'<body><article><p>{LONG}</p><ins class="adsbygoogle">Buy!</ins></article></body>') == one
+
+
 def test_columns_without_telling_names():
     one = squash(LONG)
     article = f'<div class="c1"><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p><p>The end.</p></div>'
