@@ -1,11 +1,13 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 The documents come in batches by descending id. A run is a table ``(h1, h2, keeper, n_docs)`` in hash buckets, sorted inside
-each bucket: the line keys that no earlier batch held, with the largest document id that holds them. Each batch is
-merge-anti-joined with the runs that exist: its keys without a partner are new and become its own run, and as batches
-descend, the largest id of that batch is the keeper for good. Keys with a partner only add to the counts. Runs are read back
-in their buckets and order, so neither the join's exchange nor its sort touches them again. When a level holds ``fanout``
-runs they are compacted into one of the next level, so a key is rewritten O(log batches) times.
+each bucket: the line keys that no earlier batch held, with the largest document id that holds them. Each batch is written in
+that layout and merge-anti-joined with the runs that exist: its keys without a partner are new and become its own run, and as
+batches descend, the largest id of that batch is the keeper for good. Keys with a partner only add to the counts. Runs are
+read back in their buckets and order, so neither the join's exchange nor its sort touches them again. When a level holds
+``fanout`` runs they are merged, two by two and bucket by bucket in their order, into one of the next level, so a key is
+rewritten O(log batches) times and a batch meets few runs. The queries' four batches fill three levels of ``fanout`` 2: the
+third batch meets the merged run of the first two, and the counts are looked up in the one run that is left.
 
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased; 128 hash bits stand for it. Keys shorter
 than ``min_chars`` code points never count. Null or empty text is one empty line. Repeats inside one document, and rows that
@@ -103,19 +105,16 @@ class Buckets:
         self.n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # what a group-by of the keys is dealt to
         self.held: set[str] = set()
 
-    def write(self, rows: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        """``rows``, which are dealt by (h1, h2), in buckets: one file for each of them and each value of ``partition_by``."""
+    def write(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows``, which are dealt by (h1, h2), in buckets of one file each. The writer puts its own sort before the file; rows
+        of merge joins come to it in order."""
         table = f"{self.name}_{name}"
         with self.in_order():
             writer = rows.write.bucketBy(self.n, "h1", "h2").sortBy("h1", "h2").option("compression", "snappy").option("path", f"{self.work.path}/{name}")
-            (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
+            writer.saveAsTable(table)
         self.held.add(name)
         return self.spark.table(table)
 
-    def files(self, name: str) -> DataFrame:
-        """A table's rows without its layout, to be dealt anew."""
-        return self.spark.read.schema(self.spark.table(f"{self.name}_{name}").schema).parquet(f"{self.work.path}/{name}")
-
     def drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{name}")
         self.held.discard(name)
@@ -133,7 +132,7 @@ class Buckets:
 class LevelledRuns:
     """The runs of all batches so far. Batches are added by descending document ids."""
 
-    def __init__(self, work: Workspace, fanout: int = 4):
+    def __init__(self, work: Workspace, fanout: int = 2):
         if fanout < 2:
             raise ValueError("fanout must be 2 or more")
         self.work, self.fanout, self.levels, self._n = work, fanout, [], 0
@@ -144,43 +143,52 @@ class LevelledRuns:
         return [r for level in self.levels for _, r in level]
 
     def split(self, batch: DataFrame) -> DataFrame:
-        """``batch`` with ``old``: whether a run holds the key. A chain of merge joins that keeps the batch's order; the
-        rows without a partner in any run are the anti-join's."""
-        for k, run in enumerate(self.runs()):
-            batch = batch.join(run.select("h1", "h2", F.lit(True).alias(f"in_{k}")).hint("merge"), ["h1", "h2"], "left")
-        flags = [F.coalesce(F.col(f"in_{k}"), F.lit(False)) for k in range(len(self.runs()))]
-        old = F.lit(False)
-        for f in flags:
-            old = old | f
-        return batch.select("h1", "h2", "keeper", "n_docs", old.alias("old"))
+        """The rows of ``batch`` whose key no run holds: a chain of merge anti-joins that keeps the batch's layout."""
+        for run in self.runs():
+            batch = batch.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return batch
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """Add a batch of distinct (doc_id, h1, h2) rows, after compacting full levels; returns its new run."""
-        self._compact()
+        """Add a batch of distinct (doc_id, h1, h2) rows, then merge full levels; returns the batch's new run."""
         self._n += 1
-        batch = keys.groupBy("h1", "h2").agg(F.max("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n_docs"))
+        rows = keys.groupBy("h1", "h2").agg(F.max("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n_docs"))
         name = f"batch_{self._n}"
-        with self.buckets.in_order():
-            split = self.buckets.write(self.split(batch), name, ("old",))
-        again = split.filter("old").select("h1", "h2", "n_docs")
-        self.again = again if self.again is None else self.again.unionByName(again)
-        run = split.filter("not old").select("h1", "h2", "keeper", "n_docs")
-        if not self.levels:
+        run = batch = self.buckets.write(rows, name)
+        if self.levels:
+            name = f"run_{self._n}"
+            run = self.buckets.write(self.split(batch), name)
+            again = batch.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti").select("h1", "h2", "n_docs")
+            self.again = again if self.again is None else self.again.unionByName(again)
+        else:
             self.levels.append([])
         self.levels[0].append((name, run))
+        self._compact()
         return run
 
+    def merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two runs as one: a full merge join of their buckets. No key is in both, so it only puts their rows in one order."""
+        a, b = a.alias("a"), b.alias("b").hint("merge")
+        pairs = a.join(b, (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")), "full")
+        return pairs.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("h1", "h2", "keeper", "n_docs")])
+
     def _compact(self) -> None:
-        for level, full in enumerate(self.levels):
-            if len(full) < self.fanout:
+        for level, runs in enumerate(self.levels):
+            if len(runs) < self.fanout:
                 return
-            rows = [self.buckets.files(name) for name, _ in full]  # no key is in two runs
-            rows = [(r.filter("not old") if "old" in r.columns else r).select("h1", "h2", "keeper", "n_docs") for r in rows]
-            merged = reduce(DataFrame.unionByName, rows).repartition(self.buckets.n, "h1", "h2").sortWithinPartitions("h1", "h2")
+            n = 0
+            while len(runs) > 1:
+                merged = []
+                for (x, a), (y, b) in zip(runs[::2], runs[1::2]):
+                    n += 1
+                    name = f"level_{level + 1}_{self._n}_{n}"
+                    merged.append((name, self.buckets.write(self.merge(a, b), name)))
+                    for gone in (x, y):
+                        if gone.startswith("level_"):  # the batches' own runs are read for the counts
+                            self.buckets.drop(gone)
+                runs = merged + runs[len(merged) * 2 :]
             if len(self.levels) == level + 1:
                 self.levels.append([])
-            name = f"level_{level + 1}_{self._n}"
-            self.levels[level + 1].append((name, self.buckets.write(merged, name)))
+            self.levels[level + 1] += runs
             self.levels[level] = []
 
     def close(self) -> None:
@@ -188,9 +196,12 @@ class LevelledRuns:
 
     def repeated(self, min_docs: int) -> DataFrame:
         """(h1, h2, keeper) of the keys that ``min_docs`` documents hold: a run's own count and what later batches added."""
-        more = self.again.groupBy("h1", "h2").agg(F.sum("n_docs").alias("more"))
-        total = F.col("n_docs") + F.coalesce("more", F.lit(0))
-        found = [r.join(more.hint("merge"), ["h1", "h2"], "left").filter(total >= min_docs).select("h1", "h2", "keeper") for r in self.runs()]
+        if self.again is None:
+            found = [r.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper") for r in self.runs()]
+        else:
+            more = self.again.groupBy("h1", "h2").agg(F.sum("n_docs").alias("more"))
+            total = F.col("n_docs") + F.coalesce("more", F.lit(0))
+            found = [r.join(more.hint("merge"), ["h1", "h2"], "left").filter(total >= min_docs).select("h1", "h2", "keeper") for r in self.runs()]
         return reduce(DataFrame.unionByName, found)
 
 
@@ -230,7 +241,7 @@ TEXT, ID, DROPS = "__lines_text", "__lines_id", "__lines_drops"
 
 
 def dedup(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4, with_text: bool = True, keep_cols: list[str] | None = None
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2, with_text: bool = True, keep_cols: list[str] | None = None
 ) -> DataFrame:
     """``docs`` with each repeated line left only in the largest document that holds it.
 
@@ -252,12 +263,13 @@ def dedup(
     runs = LevelledRuns(work, fanout)
     for b in range(len(edges) + 1):
         runs.add(keys.filter(F.col("batch") == b).select("doc_id", "h1", "h2"))
-    hot = runs.repeated(min_docs)
-    drops = keys.join(hot, ["h1", "h2"]).filter(F.col("doc_id") != F.col("keeper"))
     with runs.buckets.in_order():
-        drops = work.table(drops.groupBy(F.col("doc_id").alias(ID)).agg(F.collect_list(F.struct("h1", "h2")).alias(DROPS)), "drops")
+        hot = work.table(runs.repeated(min_docs), "hot")  # without the runs' layout, so that a very frequent key can be split
     runs.close()
+    drops = keys.join(hot, ["h1", "h2"]).filter(F.col("doc_id") != F.col("keeper"))
+    drops = work.table(drops.groupBy(F.col("doc_id").alias(ID)).agg(F.collect_list(F.struct("h1", "h2")).alias(DROPS)), "drops")
     work.drop("keys")
+    work.drop("hot")
     made = {text_col.lower(), *MADE}
     rest = [c for c in (docs.columns if keep_cols is None else keep_cols) if c.lower() not in made]
     narrow = docs.select(*rest, F.col(text_col).alias(TEXT), F.col(id_col).cast("bigint").alias(ID))

@@ -190,6 +190,54 @@ def test_runs_take_new_keys_from_the_anti_join_alone(spark):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lodestack_lines")]
 
 
+def test_runs_are_merged_in_their_order(spark):
+    from lodestack.llm.runtime import Workspace
+
+    rng = random.Random(8)
+    runs = line_dedup.LevelledRuns(Workspace(spark, "t"), fanout=3)
+    keeper, holders, shape = {}, defaultdict(int), []
+    for d in range(60, 0, -6):
+        rows = [(d - k, h, -h) for k in range(6) for h in rng.sample(range(-150, 150), 12)]
+        new = runs.add(spark.createDataFrame(rows, "doc_id long, h1 long, h2 long"))
+        assert {r.h1 for r in new.collect()} == {h for _, h, _ in rows} - set(keeper)
+        for doc, h, _ in rows:
+            keeper.setdefault(h, doc)
+            holders[h] += 1
+        shape.append([len(level) for level in runs.levels])
+    assert shape == [[1], [2], [0, 1], [1, 1], [2, 1], [0, 2], [1, 2], [2, 2], [0, 0, 1], [1, 0, 1]]
+    assert sorted(r.h1 for run in runs.runs() for r in run.collect()) == sorted(keeper)
+    for n in (1, 3, 8):
+        assert {r.h1: r.keeper for r in runs.repeated(n).collect()} == {h: keeper[h] for h in keeper if holders[h] >= n}
+
+    runs.add(spark.createDataFrame([(0, h, -h) for h in range(200, 260)], "doc_id long, h1 long, h2 long"))
+    a, b = [run for _, run in runs.levels[0]]
+    with runs.buckets.in_order():
+        merged = runs.merge(a, b)
+        for plan, kind, joins in ((merged, "FullOuter", 1), (runs.split(a), "LeftAnti", 3)):
+            plan = plan._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(rf"SortMergeJoin .*{kind}", plan)) == joins and plan.count("Bucketed: true") == joins + 1
+            assert "Exchange" not in plan and not re.search(r"\bSort \[", plan)
+        parts = merged.rdd.map(lambda r: (r.h1, r.h2)).glom().collect()
+    assert len(parts) == runs.buckets.n and all(p == sorted(p) for p in parts)
+    assert sorted(x for p in parts for x in p) == sorted((r.h1, r.h2) for run in (a, b) for r in run.collect())
+    runs.close()
+
+
+def test_line_dedup_query_fills_levels_and_meets_merged_runs(spark, sf, monkeypatch):
+    steps = []
+
+    class Watched(line_dedup.LevelledRuns):
+        def add(self, keys):
+            met = len(self.runs())
+            new = super().add(keys)
+            steps.append((met, [len(level) for level in self.levels]))
+            return new
+
+    monkeypatch.setattr(line_dedup, "LevelledRuns", Watched)
+    queries.op10_line_dedup(spark, sf)
+    assert steps == [(0, [1]), (1, [0, 1]), (1, [1, 1]), (2, [0, 0, 1])]
+
+
 @pytest.fixture(scope="module")
 def encoding():
     import public_tokenizers
