@@ -47,3 +47,17 @@ def test_two_writers_conflict_and_vacuum(spark, tmp_path):
     assert sorted(p.name[:2] for p in (tmp_path / "s").iterdir() if p.name.startswith("v-")) == ["v-", "v-"]
     again = ChunkStore(spark, str(tmp_path / "s"), buckets=9)
     assert again.buckets == 2 and again.chunks().count() == 1
+
+
+def test_a_large_bucket_is_indexed_by_several_tasks(spark, tmp_path, monkeypatch):
+    from lodestack.sources import store as module
+
+    monkeypatch.setattr(module, "PART_BYTES", 1 << 10)
+    store = ChunkStore(spark, str(tmp_path / "s"), buckets=2)
+    data = [(str(i), "a.go", f"alpha word{i} " * 3) for i in range(200)] + [("empty", "a.go", "")]
+    store.upsert(rows(spark, *data))
+    posts = store.postings().withColumn("file", F.input_file_name())
+    assert posts.select("file").distinct().count() > 1
+    assert posts.groupBy("id").agg(F.count_distinct("file").alias("n")).filter("n > 1").count() == 0
+    assert {(r.term, r.id): r.tf for r in store.postings().collect()} == {(t, str(i)): 3 for i in range(200) for t in ("alpha", f"word{i}")}
+    assert {r.id: r.dl for r in store.docs().collect()} == {str(i): 6 for i in range(200)} | {"empty": 0}
